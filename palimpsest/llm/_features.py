@@ -60,7 +60,7 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 class Ftrl:
     """Follow-the-regularised-leader with one learning rate per coordinate, logistic loss."""
 
-    def __init__(self, size: int, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.05, l2: float = 0.5):
+    def __init__(self, size: int, alpha: float = 2.0, beta: float = 0.05, l1: float = 0.3, l2: float = 0.01):
         self.z, self.n = np.zeros(size), np.zeros(size)
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
 

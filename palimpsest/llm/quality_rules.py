@@ -97,14 +97,15 @@ def rules() -> dict[str, Column]:
 
 #: What is believed of a rule beforehand: P(vote | bad) and P(vote | good) of the votes -1, 0, 1. A good
 #: document hardly ever fails a rule; a bad one fails the few rules that know its kind of badness.
-BELIEF = {0: (0.4, 0.1, 0.5), 1: (0.003, 0.097, 0.9)}
+BELIEF = {0: (0.4, 0.1, 0.5), 1: (0.001, 0.099, 0.9)}
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], prior: float = 0.85, rounds: int = 50, least: float = 1e-6, strength: float = 0.5) -> tuple[float, list[dict[tuple[int, int], float]]]:
+def estimate(patterns: list[tuple[tuple[int, ...], int]], prior: float = 0.85, rounds: int = 50, least: float = 1e-6, strength: float = 0.1, fails: float = 0.001) -> tuple[float, list[dict[tuple[int, int], float]]]:
     """Expectation-maximisation over counted patterns of votes: the share of good documents, and per
     rule the probability of each vote for bad (0) and good (1) documents. The belief above weighs
-    as much as `strength` times the documents, so that the rules' agreement refines it and good
-    and bad don't change places."""
+    as much as `strength` times the documents, and good documents fail a rule with probability
+    `fails` at most, so that the rules' agreement refines the belief and good and bad don't
+    change places."""
     m = len(patterns[0][0]) if patterns else 0
     total = sum(c for _, c in patterns)
     weight = max(1.0, strength * total)
@@ -119,7 +120,11 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], prior: float = 0.85, r
             for (votes, c), p in zip(patterns, soft):
                 t[1, votes[j]] += c * p
                 t[0, votes[j]] += c * (1 - p)
-            made.append({(z, v): t[z, v] / sum(t[z, u] for u in (-1, 0, 1)) for z in (0, 1) for v in (-1, 0, 1)})
+            t = {(z, v): t[z, v] / sum(t[z, u] for u in (-1, 0, 1)) for z in (0, 1) for v in (-1, 0, 1)}
+            if (over := t[1, -1] - fails) > 0:
+                rest = t[1, 0] + t[1, 1]
+                t |= {(1, -1): fails, (1, 0): t[1, 0] * (1 + over / rest), (1, 1): t[1, 1] * (1 + over / rest)}
+            made.append(t)
         moved, good, tables = abs(new - good), new, made
         if moved < least:
             break
