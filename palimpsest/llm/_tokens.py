@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 
@@ -35,7 +36,7 @@ class Words(dict):
         shown = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
         if len(self) >= self.most:
             self.clear()
-        ids = self[word] = np.array([t.id for t in self.model.tokenize(shown)], self.kind).tobytes()
+        ids = self[word] = array(self.kind, [t.id for t in self.model.tokenize(shown)]).tobytes()
         return ids
 
 
@@ -49,7 +50,7 @@ class WordTokens:
         self.library = Tokenizer.from_file(path)
         self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
         self.width = int(self.kind[-1])
-        self.words = Words(self.library.model, self.kind)
+        self.words = Words(self.library.model, "HI"[self.width > 2])
 
     def pieces(self, text: str) -> list[str] | None:
         """The words to encode apart, or None if only the library may split this text."""
