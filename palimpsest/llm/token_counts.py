@@ -71,6 +71,8 @@ class PrefixCounts:
         """The largest number of characters that ends with a word (of texts of the library: a
         token) and whose prefix takes at most `tokens` tokens."""
         k = bisect.bisect_right(self.counts, tokens)
+        while self.words is None and k and self.at(self.ends[k - 1]) > tokens:  # tokens that share a character
+            k -= 1
         return self.ends[k - 1] if k else 0
 
 
