@@ -23,7 +23,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from palimpsest.llm._base import table
+from palimpsest.llm._base import cut, table
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -95,6 +95,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
     # the template's places on a diagonal as bits: rows of equal id and text vote for the same bits
     found = F.bit_or(F.expr("shiftleft(1L, at)"))
     votes = hits.withColumn("diagonal", F.col("p") - F.col("at")).groupBy(*key, "diagonal").agg(found.alias("bits"), F.min("p").alias("first"), (F.max("p") + (k - 1)).alias("last"))
+    votes = cut(votes, "votes")  # both branches below start from it, and words are generated once
     exact = votes.where("base and bit_count(bits) = n_t").select("doc", "sig", "label", "base", "first", "last", F.lit(1.0).alias("share"))
     w = Window.partitionBy(*key).orderBy("diagonal")
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(w) > drift, F.lit(True))
