@@ -180,3 +180,21 @@ def kind(data: bytes, rsrc: bytes = b"") -> str:
     if fasd_header(data) or fasd_header(re.sub(rb"\A#![^\n\r]*[\n\r]", b"", data)) or script_resource(rsrc):
         return "script"
     return "text" if data and is_plain(data) else "other"
+
+
+def jxa(b: bytes) -> str:
+    """The source of a compiled JavaScript: a binary property list between a header and a trailer."""
+    import plistlib
+
+    rest = b[16:]
+    if b.endswith(b"\xfa\xde\xde\xad") and 0 < (n := int.from_bytes(b[-6:-4], "big")) <= len(rest):
+        rest = rest[:-n]
+    if len(rest) < 40 or not rest.startswith(b"bplist00"):
+        raise ValueError("no property list")
+    try:
+        held = plistlib.loads(rest)
+    except Exception as e:
+        raise ValueError(f"a damaged property list: {e}") from e
+    if not isinstance(held, dict) or not isinstance(held.get("script"), str):
+        raise ValueError("no source in the property list")
+    return held["script"].replace("\r\n", "\n").replace("\r", "\n")

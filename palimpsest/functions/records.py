@@ -370,3 +370,31 @@ def disassembly(handlers: list[Handler]) -> str:
         out += [f"  {i.off:05x}  {i.name:<22}{operands(h, i)}" for i in found]
         out += [f"  !! {wrong}"] * bool(wrong) + [""]
     return "\n".join(out) + "\n" if out else ""
+
+
+def tree(rows: list[Record]) -> str:
+    """The syntax nodes as an indented tree under each node that no other refers to; what comes
+    again is only named."""
+    nodes = {r.ref: r for r in rows if r.typ == 0x0D}
+    cells = {r.ref: r for r in rows if r.typ in (0x02, 0x06, 0x10) and r.refs}
+    held = {x for r in [*nodes.values(), *cells.values()] for x in r.refs}
+    graph, out, seen = Graph(rows), [], set()
+    todo = [(r.ref, 0) for r in rows if r.typ == 0x0D and r.ref not in held and nodes[r.ref] is r][::-1]
+    while todo:
+        ref, depth = todo.pop()
+        pad = "  " * depth
+        if ref in seen and ref > 0:
+            out.append(f"{pad}#{ref} (seen)")
+            continue
+        if ref > 0:
+            seen.add(ref)
+        if ref > 0 and ref in nodes:
+            n = nodes[ref]
+            out.append(f"{pad}#{ref} '{chr(n.kind or 0)}' flags={n.flags:#x} pos={n.start}-{n.end} [{' '.join(map(str, n.refs))}]")
+        elif ref > 0 and ref in cells:
+            out.append(f"{pad}@{ref} list")
+        else:
+            out.append(f"{pad}{'#' * (ref > 0)}{ref} {shown(graph.value(ref)) if ref in graph.by_ref else ''}".rstrip())
+            continue
+        todo += [(x, depth + 1) for x in (nodes.get(ref) or cells[ref]).refs[::-1]]
+    return "\n".join(out) + "\n" if out else ""

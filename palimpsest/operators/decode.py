@@ -129,7 +129,7 @@ def texts(files: DataFrame) -> DataFrame:
     return _flat(files.where("kind = 'stack'"), rows, "layer_kind string, layer_id int, ord int, part_id int, shared boolean, text string")
 
 
-EXTENSIONS = {("stack", "decompile"): ".hypertalk", ("script", "disasm"): ".disasm.txt", ("stack", "text"): ".text.txt", ("text", "decompile"): ".applescript"}
+EXTENSIONS = {("stack", "decompile"): ".hypertalk", ("script", "disasm"): ".disasm.txt", ("stack", "text"): ".text.txt", ("text", "decompile"): ".applescript", ("jxa", "decompile"): ".js", ("script", "tree"): ".tree.txt"}
 
 
 def output(kind: str, command: str, data: bytes, rsrc: bytes) -> tuple[str | None, str | None]:
@@ -143,6 +143,10 @@ def output(kind: str, command: str, data: bytes, rsrc: bytes) -> tuple[str | Non
             return records.disassembly(_handlers(data, rsrc)), None
         if kind == "text" and command == "decompile":
             return data.decode("utf-8"), None
+        if kind == "jxa" and command == "decompile":
+            return forks.jxa(data), None
+        if kind == "script" and command == "tree":
+            return records.tree(records.records(records.body(script_bytes(data, rsrc))[1])), None
     except (ValueError, IndexError, RecursionError) as e:
         return None, str(e) or type(e).__name__
     return None, None
