@@ -172,9 +172,13 @@ def is_plain(b: bytes) -> bool:
 
 
 def kind(data: bytes, rsrc: bytes = b"") -> str:
-    """stack, jxa, script, text or other, by the bytes alone."""
+    """stack, project, jxa, script, text or other, by the bytes alone."""
+    from palimpsest.functions.projects import project_bytes
+
     if data[4:8] == b"STAK":
         return "stack"
+    if project_bytes(data) is not None:
+        return "project"
     if data.startswith(b"JsOsaDAS"):
         return "jxa"
     if fasd_header(data) or fasd_header(re.sub(rb"\A#![^\n\r]*[\n\r]", b"", data)) or script_resource(rsrc):

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from palimpsest.functions import forks, records, stacks
+from palimpsest.functions import forks, projects, records, stacks
 from palimpsest.plans import shapes
 
 
@@ -129,7 +129,27 @@ def texts(files: DataFrame) -> DataFrame:
     return _flat(files.where("kind = 'stack'"), rows, "layer_kind string, layer_id int, ord int, part_id int, shared boolean, text string")
 
 
-EXTENSIONS = {("stack", "decompile"): ".hypertalk", ("script", "disasm"): ".disasm.txt", ("stack", "text"): ".text.txt", ("text", "decompile"): ".applescript", ("jxa", "decompile"): ".js", ("script", "tree"): ".tree.txt"}
+def project_layers(files: DataFrame) -> DataFrame:
+    def rows(d, r):
+        p = projects.parse(d)
+        at = {id(w): k for k, w in enumerate(p.windows)}
+        for name, w, x in projects.layers(p):
+            if x is not None:
+                yield at.get(id(w)), x.kind, x.ident, name, x.script, x.background.ident if x.background else None
+
+    return _flat(files.where("kind = 'project'"), rows, "window_ord int, kind string, id int, name string, script string, background_id int")
+
+
+def project_objects(files: DataFrame) -> DataFrame:
+    def rows(d, r):
+        for name, _, x in projects.layers(projects.parse(d)):
+            for k, (t, own) in enumerate(zip(x.things, projects.labels(x)) if x else ()):
+                yield name, x.kind, k, t.ident, t.kind, own, t.script, t.text
+
+    return _flat(files.where("kind = 'project'"), rows, "layer string, layer_kind string, ord int, id int, kind string, name string, script string, text string")
+
+
+EXTENSIONS = {("stack", "decompile"): ".hypertalk", ("script", "disasm"): ".disasm.txt", ("stack", "text"): ".text.txt", ("project", "decompile"): ".supertalk", ("project", "text"): ".text.txt", ("text", "decompile"): ".applescript", ("jxa", "decompile"): ".js", ("script", "tree"): ".tree.txt"}
 
 
 def output(kind: str, command: str, data: bytes, rsrc: bytes) -> tuple[str | None, str | None]:
@@ -139,6 +159,10 @@ def output(kind: str, command: str, data: bytes, rsrc: bytes) -> tuple[str | Non
             return stacks.scripts_listing(stacks.parse(data, rsrc)), None
         if kind == "stack" and command == "text":
             return stacks.text_listing(stacks.parse(data, rsrc)), None
+        if kind == "project" and command == "decompile":
+            return projects.scripts_listing(projects.parse(data)), None
+        if kind == "project" and command == "text":
+            return projects.text_listing(projects.parse(data)), None
         if kind == "script" and command == "disasm":
             return records.disassembly(_handlers(data, rsrc)), None
         if kind == "text" and command == "decompile":
