@@ -6,12 +6,13 @@ its error in `results` and has none elsewhere. Only the columns that an operator
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from palimpsest.functions import forks, projects, records, stacks
+from palimpsest.functions import forks, projects, records, source, stacks
 from palimpsest.plans import shapes
 
 
@@ -23,7 +24,7 @@ def _flat(files: DataFrame, rows: Callable[[bytes, bytes], Iterator[tuple]], sch
             for ident, data, rsrc in zip(pdf["file_id"], pdf["data"], pdf["rsrc"]):
                 try:
                     made = [(ident, *r) for r in rows(bytes(data or b""), bytes(rsrc or b""))]
-                except (ValueError, IndexError, RecursionError):
+                except (ValueError, IndexError, RecursionError, struct.error):
                     continue
                 if made:
                     yield pd.DataFrame(made, columns=names)
@@ -149,14 +150,24 @@ def project_objects(files: DataFrame) -> DataFrame:
     return _flat(files.where("kind = 'project'"), rows, "layer string, layer_kind string, ord int, id int, kind string, name string, script string, text string")
 
 
-EXTENSIONS = {("stack", "decompile"): ".hypertalk", ("script", "disasm"): ".disasm.txt", ("stack", "text"): ".text.txt", ("project", "decompile"): ".supertalk", ("project", "text"): ".text.txt", ("text", "decompile"): ".applescript", ("jxa", "decompile"): ".js", ("script", "tree"): ".tree.txt"}
+EXTENSIONS = {("script", "decompile"): ".applescript", ("stack", "decompile"): ".hypertalk", ("script", "disasm"): ".disasm.txt", ("stack", "text"): ".text.txt", ("project", "decompile"): ".supertalk", ("project", "text"): ".text.txt", ("text", "decompile"): ".applescript", ("jxa", "decompile"): ".js", ("script", "tree"): ".tree.txt"}
+
+
+def compiled_source(b: bytes) -> str:
+    """A compiled script inside another file as text, or a comment that says what was wrong."""
+    try:
+        return source.decompile(b)
+    except (ValueError, IndexError) as e:
+        return f"-- (a compiled script that can't be read: {e})"
 
 
 def output(kind: str, command: str, data: bytes, rsrc: bytes) -> tuple[str | None, str | None]:
     """A file's output and error for a command; neither if the command isn't for its kind."""
     try:
         if kind == "stack" and command == "decompile":
-            return stacks.scripts_listing(stacks.parse(data, rsrc)), None
+            return stacks.scripts_listing(stacks.parse(data, rsrc), compiled_source), None
+        if kind == "script" and command == "decompile":
+            return source.decompile(script_bytes(data, rsrc)), None
         if kind == "stack" and command == "text":
             return stacks.text_listing(stacks.parse(data, rsrc)), None
         if kind == "project" and command == "decompile":
@@ -171,7 +182,7 @@ def output(kind: str, command: str, data: bytes, rsrc: bytes) -> tuple[str | Non
             return forks.jxa(data), None
         if kind == "script" and command == "tree":
             return records.tree(records.records(records.body(script_bytes(data, rsrc))[1])), None
-    except (ValueError, IndexError, RecursionError) as e:
+    except (ValueError, IndexError, RecursionError, struct.error) as e:
         return None, str(e) or type(e).__name__
     return None, None
 
