@@ -36,7 +36,7 @@ MARGIN = 3
 #: Those that compete where no fonts are known, the first winning ties.
 CONTEST = ["Mac Japanese", "Mac Korean", "Mac Chinese Simplified", "Mac Chinese Traditional", "Mac Cyrillic", "Mac Central European", "Mac Turkish", "Mac Hebrew", "Mac Arabic", "Mac Icelandic", "Mac Croatian", "Mac Romanian"]
 LATIN = frozenset({ROMAN, "Mac Central European", "Mac Turkish", "Mac Icelandic", "Mac Croatian", "Mac Romanian"})
-_MARKS = frozenset("’‘“”–—·…•™®©°«»¬±¥£¢§¶")
+_MARKS = frozenset("¢£¥§¶©®°¬±·«»‘’“”•–—…™")
 
 
 def codec(name: str) -> str:
@@ -130,9 +130,11 @@ def encode_roman(s: str) -> bytes | None:
 
 
 _FONTS = {
-    "Mac Japanese": ("Osaka", "Chu Gothic", "Hei Mincho", "Kyoto", "Sapporo"), "Mac Chinese Simplified": ("Beijing", "Song", "Hei", "Kai", "Fang Song"),
-    "Mac Chinese Traditional": ("Taipei", "Apple LiGothic", "Apple LiSung"), "Mac Korean": ("Seoul", "AppleGothic", "AppleMyungjo"),
-}
+    "Mac Japanese": "Chu Gothic|Hei Mincho|Kyoto|Osaka|Sapporo".split("|"),
+    "Mac Chinese Simplified": "Beijing|Fang Song|Hei|Kai|Song".split("|"),
+    "Mac Chinese Traditional": "Apple LiGothic|Apple LiSung|Taipei".split("|"),
+    "Mac Korean": "AppleGothic|AppleMyungjo|Seoul".split("|"),
+}
 
 
 def for_font(ident: int, name: bytes) -> str | None:

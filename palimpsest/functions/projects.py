@@ -331,10 +331,11 @@ class Reader:
         w = Window()
         at = self.form.script[WINDOW] - 8
         n = _two(b, at)
-        if at + 2 + 6 * n + 4 > len(b):
+        after = at + 2 + 6 * n
+        if len(b) < after + 4:
             return w
         lists = [_four(b, at + 4 + 6 * k) for k in range(n)]
-        w.script, at = self.script(b, at + 2 + 6 * n)
+        w.script, at = self.script(b, after)
         w.name = self.last_name(b, at)
         made: dict[int, Layer] = {}
         for held in lists:

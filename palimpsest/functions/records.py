@@ -312,13 +312,13 @@ def _operations() -> dict[int, tuple[str, int]]:
             op, name, *words = entry.split()
             out[int(op, 16)] = (name, int(words[0]) if words else 0)
     out |= {op: ("MakeObjectAlias", 0) for op in range(0x2C, 0x38)} | {op: ("MakeComp", 0) for op in range(0x38, 0x45)}
-    for k, name in enumerate(("PushVariable", "PopVariable", "PushGlobal", "PopGlobal", "PushLiteral", "PushLiteral")):
+    for k, name in enumerate("PushVariable PopVariable PushGlobal PopGlobal PushLiteral PushLiteral".split()):
         out |= {op: (name, 0) for op in range(0xA0 + 16 * k, 0xB0 + 16 * k)}
     return out
 
 
 OPERATIONS = _operations()
-BRANCHES = frozenset({"Jump", "TestIf", "And", "Or", "LinkRepeat", "ErrorHandler", "EndErrorHandler"})
+BRANCHES = frozenset("And EndErrorHandler ErrorHandler Jump LinkRepeat Or TestIf".split())
 
 
 @dataclass

@@ -987,7 +987,7 @@ class Printer:
     def use(self, n: Node, ref: int, depth: int) -> str:
         out = "use " + (self.named(n.head) + " : " if n.head < 0 and self.has_name(n.head) else "") + self.expr(n.kid(1))
         for key, value, _ in self.x.chain(n.kid(2), 3):
-            label = {"minv": "version", "impt": "importing"}.get(self.x.codes.get(key, "")) or self.named(key)
+            label = dict(impt="importing", minv="version").get(self.x.codes.get(key, "")) or self.named(key)
             truth = self.truth(value)
             out += f" {'with' if truth == 'true' else 'without'} {label}" if truth else f" {label} {self.inner(value)}"
         return out

@@ -57,7 +57,7 @@ def read_file(path: str) -> forks.Forked:
 def bundle(path: str) -> str:
     """The script in a bundle that is named itself."""
     if path.rstrip("/").endswith((".scptd", ".app")) and os.path.isdir(path):
-        return os.path.join(path, "Contents", "Resources", "Scripts", "main.scpt")
+        return os.path.join(path, *"Contents/Resources/Scripts/main.scpt".split("/"))
     return path
 
 

@@ -63,11 +63,11 @@ class Make:
 def sample(major: int, minor: int) -> Make:
     m = Make(major, minor)
     m.blocks[0] = m.head(P.PROJECT, m.form.script[P.PROJECT]) + rec(script("on start\nbeep\nend start"))
-    m.blocks[5] = m.head(P.WINDOW, m.form.script[P.WINDOW] - 8) + struct.pack(">HHI", 1, 2, 6) + rec(script("")) + rec(b"Main")
+    m.blocks[5] = m.head(P.WINDOW, m.form.script[P.WINDOW] - 8) + struct.pack(">HHI", 1, 2, 6) + rec(script("")) + rec(b"Front")
     m.blocks[6] = m.head(P.CARD_LIST, 14) + b"".join(struct.pack(">4I", *e).ljust(64, b"\0") for e in ((8, 7, 101, 100), (9, 7, 102, 100)))
     m.layer(7, P.BACKGROUND, "", "", [(200, 1, None, "Go", "on mouseUp\nend mouseUp", None), (300, 70000, field("Old"), "Title", "", None), (301, 11, field("Hi", 1), "Body", "", None)])
     group = m.objects([(200, 5, None, "", "on mouseUp\nanswer 1\nend mouseUp", None)])
-    m.layer(8, P.CARD, "Home", "on open\nend open", [
+    m.layer(8, P.CARD, "Start", "on open\nend open", [
         (300, 2, field("One\nTwo", 1), "Notes", "", b"\0\1props" if major == 2 else None), (105, 3, b"\1\2\3", "", "", None), (108, 4, group, "Group", "", None), (201, 6, None, "Same", "on a\nend a", None), (201, 9, None, "Same", "", None),
     ], [(11, "Hi"), (70000, "New")])
     m.layer(9, P.CARD, "", "", [], [(99, "Gone"), (70000, "Second")])
@@ -82,20 +82,20 @@ on start
   beep
 end start
 
--- background button "Go" of background id 100 of window "Main"
+-- background button "Go" of background id 100 of window "Front"
 on mouseUp
 end mouseUp
 
--- card "Home" of window "Main"
+-- card "Start" of window "Front"
 on open
 end open
 
--- card button id 5 of card "Home" of window "Main"
+-- card button id 5 of card "Start" of window "Front"
 on mouseUp
   answer 1
 end mouseUp
 
--- card button "Same" (id 6) of card "Home" of window "Main"
+-- card button "Same" (id 6) of card "Start" of window "Front"
 on a
 end a
 
@@ -107,7 +107,7 @@ end lost
 on pick
 end pick
 """
-TEXTS = [('field "Title" of background id 100 of', "Old"), ('field "Title" of card "Home" of', "New"), ('field "Body" of card "Home" of', "Hi"), ('field "Notes" of card "Home" of', "One\nTwo"), ('field "Title" of card id 102 of', "Second")]
+TEXTS = [('field "Title" of background id 100 of', "Old"), ('field "Title" of card "Start" of', "New"), ('field "Body" of card "Start" of', "Hi"), ('field "Notes" of card "Start" of', "One\nTwo"), ('field "Title" of card id 102 of', "Second")]
 
 
 @pytest.mark.parametrize("version", [(1, 0), (1, 1), (2, 1)])
@@ -115,7 +115,7 @@ def test_project(version):
     data = sample(*version).bytes()
     p = P.parse(data)
     assert P.scripts_listing(p) == SCRIPTS
-    assert P.text_listing(p) == "\n".join(f'-- {"card" if "Notes" in a else "background"} {a} window "Main"\n{t}\n' for a, t in TEXTS)
+    assert P.text_listing(p) == "\n".join(f'-- {"card" if "Notes" in a else "background"} {a} window "Front"\n{t}\n' for a, t in TEXTS)
     standalone = data[:0x400] + b"Joy!peffpwpc" + bytes(500) + data[0x400:]
     assert P.scripts_listing(P.parse(standalone)) == SCRIPTS
     for bad in (b"", data[:-64], data + b"x", b"\0\3" + data[2:]):
