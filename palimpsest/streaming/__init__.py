@@ -1,0 +1 @@
+"""Files as they arrive, decoded by the same operators."""
