@@ -16,7 +16,7 @@ from datetime import datetime, timedelta
 
 from palimpsest.functions.forks import fasd_header, is_plain, jxa, roman
 from palimpsest.functions.records import EVENT_KIND, Damaged, Graph, Record, body, names, quoted, real, records
-from palimpsest.functions.terms import CODES, EVENTS, PARAMETERS, PREPOSITIONS, RESERVED
+from palimpsest.functions.terms import CODES, EVENTS, PARAMETERS, PREPOSITIONS, RESERVED, SYMBOL_CONSTANTS, SYMBOL_EVENTS, SYMBOLS
 
 DEEPEST = 300
 BREAK = "￿"
@@ -175,6 +175,18 @@ class Index:
             if take:
                 take(r)
 
+    def _01(self, r: Record) -> None:
+        number, tag = divmod(int.from_bytes(r.data, "big"), 8)
+        if len(r.data) != 4 or tag != 1:
+            return
+        if number in SYMBOLS:
+            self.codes.setdefault(r.ref, SYMBOLS[number])
+        elif number in SYMBOL_EVENTS:
+            self.events.setdefault(r.ref, SYMBOL_EVENTS[number])
+        elif number in SYMBOL_CONSTANTS:
+            self.enums.setdefault(r.ref, SYMBOL_CONSTANTS[number][0])
+            self.codes.setdefault(r.ref, SYMBOL_CONSTANTS[number][1])
+
     def _02(self, r: Record) -> None:
         if r.refs:
             self.cells[r.ref] = r.refs
@@ -1056,7 +1068,7 @@ def decompile(b: bytes, dictionaries: dict[str, Dictionary] | None = None) -> st
         except Damaged:
             return b.decode("utf-8")
     version, rest = body(b)
-    if version < "1.01":
+    if version < "0.98":
         raise Damaged(f"a script of version {version}, whose dialect isn't read")
     rows = records(rest)
     if Graph(rows).run_only():

@@ -49,3 +49,25 @@ prop some tell that then thru true with about above after below equal error ever
 times until where while whose around before behind beside eighth equals fourth global middle repeat return script second against beneath between
 contain seventh through timeout without contains continue ignoring property beginning reference returning application considering transaction
 """.split())
+
+
+def _numbered(text: str, size: int) -> dict[int, str]:
+    rows = (row.partition(" ") for line in text.split("\n") for row in line.split("|") if row)
+    return {int(n): code.ljust(size) for n, _, code in rows}
+
+
+#: Symbols of scripts before version 1.01: numbers that stood for terms, then for events, then for constants of enumerations.
+SYMBOLS = _numbered("""
+90 ----|14 TEXT|52 alis|66 arg|135 ascr|9 bool|8 capp|50 citm|49 cobj|132 ctxt|13 data|88 data|12 doub|11 enum|105 erob|102 erra|103 errn|101 errs
+104 errt|46 evnt|19 exmn|51 file|99 from|16 hand|91 insh|53 insl|130 keyf|92 kocl|47 kyid|131 ldt|95 leng|2 list|3 long|56 lrs|55 ls|57 nds|54 nmbr
+20 obj|112 pare|10 pcls|96 pcnt|111 pi|94 pnam|115 prdp|128 prep|114 prln|129 prop|106 ptlr|6 reco|117 rest|109 ret|107 rslt|89 rtyp|116 rvse|15 scpt
+5 sing|100 snam|108 spac|110 tab|97 thru|98 to|133 txdl|48 uid|4 vect
+""", 4)
+SYMBOL_EVENTS = _numbered("""
+58 aevtoapp|127 aevtodoc|69 ascr*|67 ascr+|68 ascr-|70 ascr/|78 ascr<|79 ascr<=|74 ascr=|76 ascr>|77 ascr>=|84 ascrAND|86 ascrNOT|85 ascrOR|73 ascr^
+81 ascrbgwt|80 ascrccat|134 ascrcmnt|83 ascrcont|71 ascrdiv|82 ascrends|64 ascrerr|113 ascrinit|72 ascrmod|87 ascrneg|93 ascrnoop|65 ascrpsbr|75 ascr≠
+61 coreclon|62 corecnte|63 corecrel|59 coregetd|60 coresetd|125 miscbegi|126 miscendt
+""", 8)
+SYMBOL_CONSTANTS = {n: (row[:4], row[5:].ljust(4)) for n, row in _numbered("""
+120 kfrm/ID|138 savo/ask|123 misc/cura|122 boov/fals|119 kfrm/indx|118 kfrm/name|137 savo/no|124 cons/rmte|121 boov/true|136 savo/yes
+""", 9).items()}

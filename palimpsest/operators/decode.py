@@ -153,21 +153,21 @@ def project_objects(files: DataFrame) -> DataFrame:
 EXTENSIONS = {("script", "decompile"): ".applescript", ("stack", "decompile"): ".hypertalk", ("script", "disasm"): ".disasm.txt", ("stack", "text"): ".text.txt", ("project", "decompile"): ".supertalk", ("project", "text"): ".text.txt", ("text", "decompile"): ".applescript", ("jxa", "decompile"): ".js", ("script", "tree"): ".tree.txt"}
 
 
-def compiled_source(b: bytes) -> str:
+def compiled_source(b: bytes, dictionaries: dict | None = None) -> str:
     """A compiled script inside another file as text, or a comment that says what was wrong."""
     try:
-        return source.decompile(b)
+        return source.decompile(b, dictionaries)
     except (ValueError, IndexError) as e:
         return f"-- (a compiled script that can't be read: {e})"
 
 
-def output(kind: str, command: str, data: bytes, rsrc: bytes) -> tuple[str | None, str | None]:
+def output(kind: str, command: str, data: bytes, rsrc: bytes, dictionaries: dict | None = None) -> tuple[str | None, str | None]:
     """A file's output and error for a command; neither if the command isn't for its kind."""
     try:
         if kind == "stack" and command == "decompile":
-            return stacks.scripts_listing(stacks.parse(data, rsrc), compiled_source), None
+            return stacks.scripts_listing(stacks.parse(data, rsrc), lambda b: compiled_source(b, dictionaries)), None
         if kind == "script" and command == "decompile":
-            return source.decompile(script_bytes(data, rsrc)), None
+            return source.decompile(script_bytes(data, rsrc), dictionaries), None
         if kind == "stack" and command == "text":
             return stacks.text_listing(stacks.parse(data, rsrc)), None
         if kind == "project" and command == "decompile":
@@ -187,12 +187,12 @@ def output(kind: str, command: str, data: bytes, rsrc: bytes) -> tuple[str | Non
     return None, None
 
 
-def results(files: DataFrame, command: str) -> DataFrame:
-    """file_id, rel, cmd, out, ext, error, skipped: one row per file."""
+def results(files: DataFrame, command: str, dictionaries: dict | None = None) -> DataFrame:
+    """file_id, rel, cmd, out, ext, error, skipped: one row per file. dictionaries: as terms.dictionaries makes them."""
 
     def go(batches):
         for pdf in batches:
-            made = [(None, e) if e is not None else output(k, command, bytes(d or b""), bytes(r or b"")) for k, d, r, e in zip(pdf["kind"], pdf["data"], pdf["rsrc"], pdf["error"])]
+            made = [(None, e) if e is not None else output(k, command, bytes(d or b""), bytes(r or b""), dictionaries) for k, d, r, e in zip(pdf["kind"], pdf["data"], pdf["rsrc"], pdf["error"])]
             yield pd.DataFrame({
                 "file_id": pdf["file_id"], "rel": pdf["rel"], "cmd": command, "out": [o for o, _ in made],
                 "ext": [EXTENSIONS.get((k, command)) if o is not None else None for k, (o, _) in zip(pdf["kind"], made)],
