@@ -1,11 +1,14 @@
-"""Card stacks: blocks, backgrounds, cards, their parts and texts, and the listings of both. Text is
-read as Mac Roman."""
+"""Card stacks: blocks, backgrounds, cards, their parts and texts, and the listings of both.
+
+Text is read twice if need be: once as Mac Roman, which gathers all strings and the fonts' encodings,
+and again in the encoding that these show. Runs of field text follow their own fonts."""
 
 from __future__ import annotations
 
 import struct
 from dataclasses import dataclass, field
 
+from palimpsest.functions.encodings import ROMAN, decode, decode_or_roman, detect, for_font, wide_in_word
 from palimpsest.functions.forks import resources, roman
 
 KINDS = frozenset("STAK MAST LIST PAGE BKGD CARD BMAP STBL FTBL PRNT PRST PRFT FREE TAIL".split())
@@ -95,22 +98,88 @@ def _zero(b: bytes) -> bytes:
     return b.partition(b"\0")[0]
 
 
-def text(b: bytes) -> str:
-    return roman(b).translate(_SHOWN)
-
-
-def script(b: bytes) -> Script:
-    """Text up to a zero, or, after a zero, a script of another language with a header of its own."""
-    if len(b) < 21 or b[:5] != b"\0WOSA":
-        return Script(text(_zero(b)).replace("\r", "\n"))
-    head, size = struct.unpack_from(">II", b, 5)
-    if 1 + head > len(b):
-        return Script()
-    data = b[1 + head : 1 + head + size]
-    language = "AppleScript" if b[13:17] == b"ascr" else roman(b[13:17])
-    if b[17:21] == b"scpt":
-        return Script("", language, data)
-    return Script(text(_zero(data)).replace("\r", "\n"), language)
+class Reading:
+    """How a stack's text is decoded: its encoding, whether that is forced on all of it, its fonts'
+    encodings and its styles' fonts. Keeps the bytes of all strings."""
+
+    def __init__(self, encoding: str = ROMAN, forced: bool = False):
+        self.encoding, self.forced = encoding, forced
+        self.kept: list[bytes] = []
+        self.fonts: dict[int, str] = {}
+        self.shown: list[str] = []  # encodings that are not Roman, as the fonts come
+        self.styles: dict[int, int] = {}
+
+    def text(self, b: bytes) -> str:
+        self.kept.append(b)
+        return decode_or_roman(b, self.encoding).translate(_SHOWN)
+
+    def source(self, b: bytes) -> str:
+        """A script's lines. The sign that continues one is the byte of ¬ in every encoding."""
+        if self.encoding == ROMAN:
+            return self.text(b).replace("\r", "\n")
+        return "\n".join(self.text(x[:-1]) + "¬" if x.endswith(b"\xc2") else self.text(x) for x in b.split(b"\r"))
+
+    def script(self, b: bytes) -> Script:
+        """Text up to a zero, or, after a zero, a script of another language with a header of its own."""
+        if len(b) < 21 or b[:5] != b"\0WOSA":
+            return Script(self.source(_zero(b)))
+        head, size = struct.unpack_from(">II", b, 5)
+        if 1 + head > len(b):
+            return Script()
+        data = b[1 + head : 1 + head + size]
+        language = "AppleScript" if b[13:17] == b"ascr" else roman(b[13:17])
+        if b[17:21] == b"scpt":
+            return Script("", language, data)
+        return Script(self.source(data), language)
+
+    def font_table(self, b: bytes, f: Form) -> None:
+        """Ids and zero-ended names, each filled up to an even length. Ids 0 and 1 follow the system,
+        those from 16384 on may have been given to any font: only a known name tells their encoding."""
+        left = f.int4(b, 16) if len(b) >= 24 else 0
+        at = 24
+        while left > 0 and at + 3 <= len(b):
+            ident, name = f.int2(b, at), _zero(b[at + 2 :])
+            at += 3 + len(name)
+            at += at & 1
+            left -= 1
+            if told := for_font(ident, name):
+                self.shown.append(told)
+                self.fonts[ident] = told
+            elif 2 <= ident < 16384:
+                self.fonts[ident] = ROMAN
+
+    def style_table(self, b: bytes, f: Form) -> None:
+        count = f.int4(b, 16) if len(b) >= 24 else 0
+        for at in range(24, min(24 + 24 * max(count, 0), len(b) - 23), 24):
+            self.styles[f.int4(b, at)] = f.int2(b, at + 12)
+
+    def run(self, b: bytes, font: int) -> str:
+        own = self.fonts.get(font)
+        if own is None or self.forced:
+            return decode_or_roman(b, self.encoding)
+        if own != ROMAN or self.encoding == ROMAN:
+            return decode_or_roman(b, own)
+        found = decode(b, self.encoding)
+        return found if found is not None and not wide_in_word(found) else roman(b)
+
+    def field_text(self, b: bytes, font: int) -> str:
+        """Past a zero, or past a table of style runs, whose length has its high bit set. A run that
+        begins no later than one before it is left from an edit and doesn't count."""
+        runs: list[tuple[int, int]] = []
+        skip = 1
+        if len(b) > 1 and b[0] & 0x80:
+            skip = min(struct.unpack_from(">H", b)[0] & 0x7FFF, len(b))
+            for at in range(2, skip - 3, 4):
+                start, style = struct.unpack_from(">HH", b, at)
+                if not runs or start > runs[-1][0]:
+                    own = self.styles.get(style, -1)
+                    runs.append((start, font if own == -1 else own))
+        if not runs or runs[0][0] > 0:
+            runs.insert(0, (0, font))
+        b = b[skip:].rstrip(b"\0")
+        self.kept.append(b)
+        ends = [start for start, _ in runs[1:]] + [len(b)]
+        return "".join(self.run(b[start:end], own).translate(_SHOWN) for (start, own), end in zip(runs, ends) if start < min(end, len(b)))
 
 
 def blocks(b: bytes, f: Form) -> list[tuple[str, int, bytes]]:
@@ -138,15 +207,7 @@ def blocks(b: bytes, f: Form) -> list[tuple[str, int, bytes]]:
     return list(out.values())
 
 
-def _field_text(b: bytes) -> str:
-    """Past a zero, or a table of style runs whose length has its high bit set."""
-    if not b:
-        return ""
-    skip = struct.unpack_from(">H", b)[0] & 0x7FFF if b[0] & 0x80 and len(b) > 1 else 1
-    return text(b[skip:].rstrip(b"\0"))
-
-
-def _fill(layer: Layer, b: bytes, at: int, f: Form, background: Layer | None) -> None:
+def _fill(layer: Layer, b: bytes, at: int, f: Form, background: Layer | None, read: Reading) -> None:
     if at + 14 > len(b):
         return
     n_parts, _, part_bytes, n_texts, text_bytes = struct.unpack_from(f.order + "HHIHI", b, at)
@@ -162,7 +223,7 @@ def _fill(layer: Layer, b: bytes, at: int, f: Form, background: Layer | None) ->
         kind = p[4] & 15 if f.colours else p[4]
         name = _zero(p[f.name :])
         rest = p[f.name + len(name) + 2 + f.gap :]
-        layer.parts.append(PartRow(f.int2(p, 2) & 0xFFFF, {1: "button", 2: "field"}.get(kind, "part"), text(name).replace("\r", "\n"), script(rest) if rest else Script(), -1 if f.zero_ended else f.int2(p, 24)))
+        layer.parts.append(PartRow(f.int2(p, 2) & 0xFFFF, {1: "button", 2: "field"}.get(kind, "part"), read.text(name).replace("\r", "\n"), read.script(rest) if rest else Script(), -1 if f.zero_ended else f.int2(p, 24)))
         here += size
     here = min(parts_end, len(b))
     texts_end = min(here + text_bytes, len(b))
@@ -172,7 +233,7 @@ def _fill(layer: Layer, b: bytes, at: int, f: Form, background: Layer | None) ->
             if here + 2 > texts_end:
                 break
             raw = _zero(b[here + 2 : texts_end])
-            found.append((f.int2(b, here), text(raw)))
+            found.append((f.int2(b, here), read.text(raw)))
             here += 3 + len(raw)
         else:
             if here + 4 > texts_end:
@@ -180,7 +241,9 @@ def _fill(layer: Layer, b: bytes, at: int, f: Form, background: Layer | None) ->
             ident, size = f.int2(b, here), f.int2(b, here + 2) & 0xFFFF
             if here + 4 + size > len(b):
                 break
-            found.append((ident, _field_text(b[here + 4 : here + 4 + size])))
+            owner = layer if ident < 0 or background is None else background
+            p = owner.part(abs(ident))
+            found.append((ident, read.field_text(b[here + 4 : here + 4 + size], p.font if p else -1)))
             here += 4 + size + size % 2
     for ident, t in found:
         if layer.kind == "background":
@@ -194,12 +257,23 @@ def _fill(layer: Layer, b: bytes, at: int, f: Form, background: Layer | None) ->
     here = texts_end + 32 * bool(f.colours and len(b) >= 18 and f.int2(b, 16) & 0x0400)
     if here < len(b):
         name = _zero(b[here:])
-        layer.name = text(name)
+        layer.name = read.text(name)
         rest = b[here + len(name) + 1 + f.gap :]
-        layer.script = script(rest) if rest else Script()
+        layer.script = read.script(rest) if rest else Script()
+
+
+def parse(data: bytes, rsrc: bytes = b"", encoding: str | None = None) -> Stack:
+    """A stack; with an encoding, all of its text in that, whatever its fonts."""
+    if encoding:
+        return _parse(data, rsrc, Reading(encoding, forced=True))
+    first = Reading()
+    made = _parse(data, rsrc, first)
+    # fonts and kana alone count: signs for decoration would read as anything
+    found = detect(first.kept, first.shown)
+    return made if found == ROMAN else _parse(data, rsrc, Reading(found))
 
 
-def parse(data: bytes, rsrc: bytes = b"") -> Stack:
+def _parse(data: bytes, rsrc: bytes, read: Reading) -> Stack:
     if len(data) < 20 or data[4:8] != b"STAK":
         raise NotAStack("no stack")
     f = NEW
@@ -214,6 +288,11 @@ def parse(data: bytes, rsrc: bytes = b"") -> Stack:
     version = f.int4(head, 16)
     if f is NEW and version < 10:
         f = OLD
+    for kind, _, b in found:
+        if kind == "FTBL":
+            read.font_table(b, f)
+        elif kind == "STBL":
+            read.style_table(b, f)
     by: dict[str, dict[int, bytes]] = {}
     for kind, ident, b in found:
         by.setdefault(kind, {})[ident] = b
@@ -229,7 +308,7 @@ def parse(data: bytes, rsrc: bytes = b"") -> Stack:
     made: dict[int, Layer] = {}
     for ident in chain:
         made[ident] = Layer("background", ident)
-        _fill(made[ident], bkgd[ident], f.background_parts, f, None)
+        _fill(made[ident], bkgd[ident], f.background_parts, f, None, read)
 
     order: list[int] = []
     told = None
@@ -252,10 +331,10 @@ def parse(data: bytes, rsrc: bytes = b"") -> Stack:
         c = Layer("card", ident)
         if len(b) >= 40:
             c.background = f.int4(b, 36 - f.back)
-        _fill(c, b, 40 - f.back, f, made.get(c.background))
+        _fill(c, b, 40 - f.back, f, made.get(c.background), read)
         out.append(c)
     externals = [(kind, name) for kind, _, name, _ in resources(rsrc) if kind in ("XCMD", "XFCN") and name]
-    return Stack(version, script(head[f.script :]) if len(head) > f.script else Script(), list(made.values()), out, externals, told)
+    return Stack(version, read.script(head[f.script :]) if len(head) > f.script else Script(), list(made.values()), out, externals, told)
 
 
 def _code(line: str) -> str:

@@ -161,19 +161,19 @@ def compiled_source(b: bytes, dictionaries: dict | None = None) -> str:
         return f"-- (a compiled script that can't be read: {e})"
 
 
-def output(kind: str, command: str, data: bytes, rsrc: bytes, dictionaries: dict | None = None) -> tuple[str | None, str | None]:
+def output(kind: str, command: str, data: bytes, rsrc: bytes, dictionaries: dict | None = None, encoding: str | None = None) -> tuple[str | None, str | None]:
     """A file's output and error for a command; neither if the command isn't for its kind."""
     try:
         if kind == "stack" and command == "decompile":
-            return stacks.scripts_listing(stacks.parse(data, rsrc), lambda b: compiled_source(b, dictionaries)), None
+            return stacks.scripts_listing(stacks.parse(data, rsrc, encoding), lambda b: compiled_source(b, dictionaries)), None
         if kind == "script" and command == "decompile":
             return source.decompile(script_bytes(data, rsrc), dictionaries), None
         if kind == "stack" and command == "text":
-            return stacks.text_listing(stacks.parse(data, rsrc)), None
+            return stacks.text_listing(stacks.parse(data, rsrc, encoding)), None
         if kind == "project" and command == "decompile":
-            return projects.scripts_listing(projects.parse(data)), None
+            return projects.scripts_listing(projects.parse(data, encoding)), None
         if kind == "project" and command == "text":
-            return projects.text_listing(projects.parse(data)), None
+            return projects.text_listing(projects.parse(data, encoding)), None
         if kind == "script" and command == "disasm":
             return records.disassembly(_handlers(data, rsrc)), None
         if kind == "text" and command == "decompile":
@@ -187,12 +187,13 @@ def output(kind: str, command: str, data: bytes, rsrc: bytes, dictionaries: dict
     return None, None
 
 
-def results(files: DataFrame, command: str, dictionaries: dict | None = None) -> DataFrame:
-    """file_id, rel, cmd, out, ext, error, skipped: one row per file. dictionaries: as terms.dictionaries makes them."""
+def results(files: DataFrame, command: str, dictionaries: dict | None = None, encoding: str | None = None) -> DataFrame:
+    """file_id, rel, cmd, out, ext, error, skipped: one row per file. dictionaries: as
+    terms.dictionaries makes them; encoding: of all old text, instead of the one that a file shows."""
 
     def go(batches):
         for pdf in batches:
-            made = [(None, e) if e is not None else output(k, command, bytes(d or b""), bytes(r or b""), dictionaries) for k, d, r, e in zip(pdf["kind"], pdf["data"], pdf["rsrc"], pdf["error"])]
+            made = [(None, e) if e is not None else output(k, command, bytes(d or b""), bytes(r or b""), dictionaries, encoding) for k, d, r, e in zip(pdf["kind"], pdf["data"], pdf["rsrc"], pdf["error"])]
             yield pd.DataFrame({
                 "file_id": pdf["file_id"], "rel": pdf["rel"], "cmd": command, "out": [o for o, _ in made],
                 "ext": [EXTENSIONS.get((k, command)) if o is not None else None for k, (o, _) in zip(pdf["kind"], made)],
