@@ -1,6 +1,6 @@
 """python -m palimpsest COMMAND [-e ENCODING] [-o FOLDER] PATH... (or with spark-submit)
 
-Runs a command - decompile, text, tree, disasm - on files and folders. Prints each output under its
+Runs a command - decompile, bytecode, text, tree, disasm - on files and folders. Prints each output under its
 path, or writes all into a folder. `encodings` lists those that -e takes. Exit status: 0, or 1 if
 a file could not be read, or 2 for a wrong call.
 """
@@ -16,7 +16,7 @@ from palimpsest.functions.encodings import ENCODINGS, by_name
 from palimpsest.operators import decode
 from palimpsest.sources import folders
 
-COMMANDS = ("decompile", "text", "tree", "disasm")
+COMMANDS = ("decompile", "bytecode", "text", "tree", "disasm")
 
 
 def arguments(args: list[str]) -> tuple[str, str | None, str | None, list[str]]:

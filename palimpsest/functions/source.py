@@ -285,8 +285,8 @@ class Index:
 
 
 class Printer:
-    def __init__(self, x: Index, dictionaries: dict[str, Dictionary] | None = None):
-        self.x, self.nodes = x, x.nodes
+    def __init__(self, x: Index, dictionaries: dict[str, Dictionary] | None = None, rebuilt: bool = False):
+        self.x, self.nodes, self.rebuilt = x, x.nodes, rebuilt
         self.known = dictionaries or {}
         self.common = Dictionary(CODES, CODES, CODES, EVENTS)
         self.scopes = [a for n in x.nodes.values() if n.letter == "x" and (a := self.app(n.kid(1)))]
@@ -533,6 +533,8 @@ class Printer:
         sign = SPELT.get((n.letter, n.flags), sign)
         right_first = n.letter == "a"
         left, right = self.sub(a, force + right_first), self.sub(b, force + (not right_first))
+        if self.rebuilt:
+            left, right = (f"({s})" if self.labelled(k) else s for k, s in ((a, left), (b, right)))
         if force in (3, 4) and self.letter(a) in INFIX and INFIX[self.letter(a)][1] == force:
             left = f"({left})"
         if force >= 7:
@@ -554,7 +556,7 @@ class Printer:
         if ref in x.data:
             return described(*x.data[ref])
         if ref in x.reals:
-            return rounded(x.reals[ref])
+            return real(x.reals[ref]) if self.rebuilt else rounded(x.reals[ref])  # rebuilt source must compile to the same value
         if ref in x.apps:
             return "application " + quoted(x.apps[ref])
         if ref in x.old_texts:
@@ -711,6 +713,11 @@ class Printer:
             self.in_my = saved
             return f"my ({s})" if closed else f"my {s}"
         if n.flags & POSSESSIVE:
+            if of and of.letter == "g" and n.flags & IMPLICIT:
+                code = self.x.codes.get(own.head) if own else None
+                s = self.expr(what)
+                is_class = any(code in d.classes for d in self.dictionaries() if d is not self.common)
+                return f"its {s}" if is_class or s.startswith("«") else s
             if of and of.letter == "g":
                 return ("it's " if n.flags & ALT else "its ") + self.expr(what)
             saved, self.in_my = self.in_my, False
@@ -1044,6 +1051,7 @@ EXPRESSIONS: dict[str, Callable[[Printer, Node, int], str]] = {
     ";": lambda p, n, r: "back" if n.flags & THE else "end", ":": lambda p, n, r: "front" if n.flags & THE else "beginning", "f": lambda p, n, r: "me", "g": lambda p, n, r: "it",
     "M": Printer.passed_on, "e": lambda p, n, r: "get " + p.expr(n.kid(0)), "N": Printer.reference, "6": Printer.filtered, "J": lambda p, n, r: "{" + p.items(n.kid(0)) + "}",
     "v": lambda p, n, r: "[" + p.items(n.kid(0)) + "]", "K": Printer.record,
+    "O": lambda p, n, r: f"(tell {p.expr(n.kid(1))} to {p.expr(n.kid(0))})", "~": lambda p, n, r: f"{p.expr(n.kid(0))} : {p.expr(n.kid(1))}",
 }
 
 STATEMENTS: dict[str, Callable] = {
@@ -1072,5 +1080,7 @@ def decompile(b: bytes, dictionaries: dict[str, Dictionary] | None = None) -> st
         raise Damaged(f"a script of version {version}, whose dialect isn't read")
     rows = records(rest)
     if Graph(rows).run_only():
-        raise Damaged("a run-only script: it has bytecode but no source")
+        from palimpsest.functions.rebuild import HEADING, from_bytecode
+
+        return HEADING + from_bytecode(b, dictionaries)
     return Printer(Index(rows), dictionaries).whole()

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from palimpsest.functions import forks, projects, records, source, stacks
+from palimpsest.functions import forks, projects, rebuild, records, source, stacks
 from palimpsest.plans import shapes
 
 
@@ -150,7 +150,7 @@ def project_objects(files: DataFrame) -> DataFrame:
     return _flat(files.where("kind = 'project'"), rows, "layer string, layer_kind string, ord int, id int, kind string, name string, script string, text string")
 
 
-EXTENSIONS = {("script", "decompile"): ".applescript", ("stack", "decompile"): ".hypertalk", ("script", "disasm"): ".disasm.txt", ("stack", "text"): ".text.txt", ("project", "decompile"): ".supertalk", ("project", "text"): ".text.txt", ("text", "decompile"): ".applescript", ("jxa", "decompile"): ".js", ("script", "tree"): ".tree.txt"}
+EXTENSIONS = {("script", "decompile"): ".applescript", ("script", "bytecode"): ".applescript", ("stack", "decompile"): ".hypertalk", ("script", "disasm"): ".disasm.txt", ("stack", "text"): ".text.txt", ("project", "decompile"): ".supertalk", ("project", "text"): ".text.txt", ("text", "decompile"): ".applescript", ("jxa", "decompile"): ".js", ("script", "tree"): ".tree.txt"}
 
 
 def compiled_source(b: bytes, dictionaries: dict | None = None) -> str:
@@ -180,6 +180,8 @@ def output(kind: str, command: str, data: bytes, rsrc: bytes, dictionaries: dict
             return data.decode("utf-8"), None
         if kind == "jxa" and command == "decompile":
             return forks.jxa(data), None
+        if kind == "script" and command == "bytecode":
+            return rebuild.from_bytecode(script_bytes(data, rsrc), dictionaries), None
         if kind == "script" and command == "tree":
             return records.tree(records.records(records.body(script_bytes(data, rsrc))[1])), None
     except (ValueError, IndexError, RecursionError, struct.error) as e:

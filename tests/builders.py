@@ -80,7 +80,7 @@ def word(ref: int, *spelt: str) -> bytes:
 def compiled(code: bytes = bytes([0xA0, 0xE0, 0x1E, 0x0F])) -> bytes:
     """A script of one handler, add(x), whose code adds its first literal to x and returns; a node that nothing refers to."""
     body = b"".join([
-        refs(0x0E, 0, [1, 1, 2], 16), raw(0x01, 1, b""), refs(0x10, 2, [1, 1, 3]), refs(0x0E, 3, [4, 1, 5, 1, 6, 7, 8], 16), word(4, "add", "Add"),
+        refs(0x0E, 0, [1, 1, 2], 15), raw(0x01, 1, b""), refs(0x10, 2, [1, 1, 3]), refs(0x0E, 3, [4, 1, 5, 1, 6, 7, 8], 16), word(4, "add", "Add"),
         refs(0x0E, 5, [9, 10], 4), number(9, 1), refs(0x0E, 10, [11], 0), word(11, "x"), refs(0x10, 6, [11]), refs(0x10, 7, [12, 13, 15]), number(12, -2),
         refs(0x0E, 13, [14], 0xB1), raw(0x11, 14, 'a "b"'.encode("utf-16-be")), raw(0x08, 15, struct.pack(">d", 12345.678)), raw(0x11, 8, code),
         struct.pack(">BhHBHHHhh", 0x0D, 20, 2, ord("k"), 1, 2, 3, 21, -1), struct.pack(">BhHBHHH", 0x0D, 21, 0, ord("o"), 0, 0, 0),
