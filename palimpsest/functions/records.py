@@ -64,33 +64,39 @@ def body(b: bytes) -> tuple[str, bytes]:
     return b[8:12].decode(), rest
 
 
-def records(b: bytes) -> list[Record]:
-    """All records, in order; Damaged at the first that isn't one."""
-    out, at, n = [], 0, len(b)
+def one(b: bytes, pos: int) -> tuple[Record, int]:
+    """The record at pos, and where the next is; Damaged if there is none."""
+    at = pos
 
     def take(size: int) -> bytes:
         nonlocal at
-        if at + size > n:
+        if at + size > len(b):
             raise Damaged(f"a record at {pos} is cut short")
         at += size
         return b[at - size : at]
 
-    while at < n:
-        pos = at
-        typ = take(1)[0]
-        ref, size = struct.unpack(">hH", take(4))
-        if typ not in LAYOUT:
-            raise Damaged(f"unknown record {typ:#x} at {pos}")
-        _, has_kind, payload = LAYOUT[typ]
-        r = Record(pos, typ, ref, size, take(1)[0] if has_kind else None)
-        if payload == "node":
-            r.flags, r.start, r.end = struct.unpack(">HHH", take(6))
-        if payload in ("refs", "node"):
-            r.refs = struct.unpack(f">{size}h", take(2 * size))
-        elif payload == "bytes":
-            r.data = take(size)
-        elif payload == "long":
-            r.data = take(int.from_bytes(take(4), "big"))
+    typ = take(1)[0]
+    ref, size = struct.unpack(">hH", take(4))
+    if typ not in LAYOUT:
+        raise Damaged(f"unknown record {typ:#x} at {pos}")
+    _, has_kind, payload = LAYOUT[typ]
+    r = Record(pos, typ, ref, size, take(1)[0] if has_kind else None)
+    if payload == "node":
+        r.flags, r.start, r.end = struct.unpack(">HHH", take(6))
+    if payload in ("refs", "node"):
+        r.refs = struct.unpack(f">{size}h", take(2 * size))
+    elif payload == "bytes":
+        r.data = take(size)
+    elif payload == "long":
+        r.data = take(int.from_bytes(take(4), "big"))
+    return r, at
+
+
+def records(b: bytes) -> list[Record]:
+    """All records, in order; Damaged at the first that isn't one."""
+    out, at = [], 0
+    while at < len(b):
+        r, at = one(b, at)
         out.append(r)
     return out
 
@@ -398,3 +404,47 @@ def tree(rows: list[Record]) -> str:
             continue
         todo += [(x, depth + 1) for x in (nodes.get(ref) or cells[ref]).refs[::-1]]
     return "\n".join(out) + "\n" if out else ""
+
+
+def _displayable(s: str) -> bool:
+    """Whether a text looks like one that somebody wrote."""
+    return len(s) <= 2000 and not re.search("[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x80-\\x9f\\ue000-\\uf8ff\\ufff0-\\uffff]", s)
+
+
+def plausible(r: Record) -> bool:
+    """Whether what was read at some byte is likely a record, and not part of another."""
+    what = LAYOUT[r.typ][0]
+    if what in ("list", "binding"):
+        return r.ref > 0 and 0 < r.size <= 20
+    if what == "node":
+        return -500 <= r.ref <= 500 and r.size <= 100 and 11 + 2 * r.size <= 300 and 0x20 <= (r.kind or 0) <= 0x7E
+    if what == "raw":
+        return r.size <= 20000 and r.size % 2 == 0 and _displayable(r.data.decode("utf-16-be", "replace"))
+    if what == "name":
+        return r.ref < 0 and 0 < r.size <= 512 and r.kind == 0x30
+    if what == "code":
+        return r.ref < 0 and (len(r.data) == 4 or len(r.data) == 8 or r.kind == EVENT_KIND) and all(c >= 0x20 and c != 0x7F for c in r.data[:8])
+    if what == "data":
+        return r.ref > 0 and r.size >= 4
+    if what == "string":
+        return len(r.data) >= 2 and 2 + int.from_bytes(r.data[:2], "big") <= len(r.data) and _displayable(roman(r.data[2:]))
+    return what == "fixnum" and r.ref < 0 or what == "long" and r.size == 4 and r.ref < 0 or what == "float" and r.size == 8 and r.ref > 0 or what == "vector" and r.ref >= 0 and 0 < r.size <= 20
+
+
+def tolerant(b: bytes) -> list[Record]:
+    """The records of a damaged script that can be told: read byte by byte where the order is lost. A
+    record that is likely one is passed over whole, unless only the strict order would tell it."""
+    out, at = [], 0
+    while at < len(b):
+        if b[at] in LAYOUT:
+            try:
+                r, end = one(b, at)
+            except Damaged:
+                at += 1
+                continue
+            if plausible(r):
+                out.append(r)
+                at = end
+                continue
+        at += 1
+    return out

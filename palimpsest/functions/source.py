@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
 from palimpsest.functions.forks import fasd_header, is_plain, jxa, roman
-from palimpsest.functions.records import EVENT_KIND, Damaged, Graph, Record, body, names, quoted, real, records
+from palimpsest.functions.records import EVENT_KIND, Damaged, Graph, Record, body, names, quoted, real, records, tolerant
 from palimpsest.functions.terms import CODES, EVENTS, PARAMETERS, PREPOSITIONS, RESERVED, SYMBOL_CONSTANTS, SYMBOL_EVENTS, SYMBOLS
 
 DEEPEST = 300
@@ -24,6 +24,11 @@ SHARED_CLASSES = frozenset("TEXT utxt list reco long doub nmbr bool alis enum sc
 TEXT, SPECIFIER, APP_TERM, OPTIONAL = 0xB1, 0x15, 0x7A, 0x7C
 ALT, POSSESSIVE, PARENS, CONTINUED, THE, IMPLICIT = 1, 2, 4, 8, 0x100, 0x8000
 
+#: Applications that came with the system: the editor shows them by name, others by their file's.
+SHIPPED = frozenset(
+    "Address Book|AppleScript Editor|Automator|Calendar|Console|Contacts|Database Events|Dictionary|Disk Utility|Finder|Font Book|Image Events|Keychain Access|Mail|Messages|Music|Notes|"
+    "Photos|Preview|QuickTime Player|Reminders|Safari|Script Editor|System Events|System Preferences|System Settings|Terminal|TextEdit|iCal|iChat|iTunes".split("|")
+)
 #: letter -> sign and how tightly it binds
 INFIX = {
     "a": ("^", 9), "]": ("*", 8), "^": ("/", 8), "_": ("div", 8), "`": ("mod", 8), "[": ("+", 7), "\\": ("-", 7), "b": ("&", 6), "A": ("<", 4), "B": ("≤", 4),
@@ -558,7 +563,8 @@ class Printer:
         if ref in x.reals:
             return real(x.reals[ref]) if self.rebuilt else rounded(x.reals[ref])  # rebuilt source must compile to the same value
         if ref in x.apps:
-            return "application " + quoted(x.apps[ref])
+            name = x.apps[ref].removesuffix(".app")
+            return "application " + quoted(name if name in SHIPPED or name in self.known else x.apps[ref])
         if ref in x.old_texts:
             return quoted(x.old_texts[ref])
         kind, held = x.wraps.get(ref, (0, ()))
@@ -1078,7 +1084,10 @@ def decompile(b: bytes, dictionaries: dict[str, Dictionary] | None = None) -> st
     version, rest = body(b)
     if version < "0.98":
         raise Damaged(f"a script of version {version}, whose dialect isn't read")
-    rows = records(rest)
+    try:
+        rows = records(rest)
+    except Damaged:  # what can be told of the tree; its bytecode is lost
+        return Printer(Index(tolerant(rest)), dictionaries).whole()
     if Graph(rows).run_only():
         from palimpsest.functions.rebuild import HEADING, from_bytecode
 

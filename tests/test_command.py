@@ -19,7 +19,7 @@ def test_run(spark, tmp_path):
     (tmp_path / "old").mkdir()
     (tmp_path / "old/s").write_bytes(B.stack())
     (tmp_path / "old/note.txt").write_bytes(b"beep")
-    (tmp_path / "old/bad.scpt").write_bytes(B.compiled()[:50])
+    (tmp_path / "old/bad.scpt").write_bytes(B.compiled()[:20])
     call = lambda *a: (main.run(spark, list(a), out := io.StringIO(), err := io.StringIO()), out.getvalue(), err.getvalue())
     code, out, err = call("decompile", str(tmp_path / "old"))
     assert code == 1 and "bad.scpt" in err and out.startswith("==> old/note.txt <==\nbeep\n==> old/s <==\n-- stack\n")

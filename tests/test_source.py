@@ -150,3 +150,28 @@ def test_literals_and_fallbacks():
     assert source.decompile("say é".encode()) == "say é"
     with pytest.raises(records.Damaged, match="dialect"):
         source.decompile(B.compiled().replace(b"1.101.10", b"0.95", 1))
+
+
+def test_damaged_scripts_give_what_can_be_told():
+    t = Tree()
+    top = t.block(t.node("r", t.text("kept"), t.var("x")), t.node("S"))
+    first = B.refs(0x0E, 0, [-1, top], 15)
+    for junk in (b"\x99\x98", b"\x05\x00\x01"):
+        whole = b"FasdUAS 1.101.10" + first + t.out[:40] + t.out[40:] + junk + b"ascr\0\1\0\x0c\xfa\xde\xde\xad"
+        with pytest.raises(records.Damaged):
+            records.records(records.body(whole)[1])
+        assert source.decompile(whole) == 'set x to "kept"\nexit repeat\n'
+    rows = records.tolerant(b"\x99" + first + b"\xff\xff" + t.out)
+    assert [r.typ for r in rows].count(0x0D) == t.out.count(b"\x0d\x00") and rows[0].ref == 0
+
+
+def test_applications_by_alias():
+    def alias(name: str) -> bytes:
+        a = bytearray(150)
+        a[50 : 51 + len(name)] = bytes([len(name)]) + name.encode()
+        return bytes(10) + b"alis" + bytes(a) + struct.pack(">hH", 14, 2 + 2 * len(name)) + struct.pack(">H", len(name)) + name.encode("utf-16-be") + b"\xff\xff\0\0"
+
+    t = Tree()
+    a, b = t.shared(), t.shared()
+    t.out += B.raw(0x0F, a, alias("Finder.app"), 8) + B.raw(0x0F, b, alias("Odd Tool.app"), 8)
+    assert t.script(t.node("r", t.node("m", a), t.var("x")), t.node("r", t.node("m", b), t.var("y"))) == 'set x to application "Finder"\nset y to application "Odd Tool.app"\n'
