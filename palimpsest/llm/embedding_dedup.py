@@ -107,10 +107,13 @@ def linked(m: np.ndarray, v: np.ndarray, b: int, parts: list[slice], shares: np.
         i_all, j_all = np.nonzero(near <= shares[b] + 2 * SLACK)
         for at in range(0, len(i_all), 1 << 15):
             i, j = i_all[at : at + (1 << 15)], j_all[at : at + (1 << 15)] + lo
-            gap = (mr[i] - vr[j]) ** 2
-            own = np.add.reduceat(gap, [s.start for s in parts], axis=1) <= shares + SLACK
-            k = own[:, b] & ~own[:, :b].any(1)
-            i, j = i[k], j[k]
+            for e in [b, *range(b)]:  # within this block's share, and in no earlier one's: near copies leave at the first
+                gap = mr[i, parts[e]] - vr[j, parts[e]]
+                close = np.einsum("ij,ij->i", gap, gap) <= shares[e] + SLACK
+                k = close if e == b else ~close
+                i, j = i[k], j[k]
+                if not len(i):
+                    break
             k = np.einsum("ij,ij->i", mu[i], vu[j]) >= cosine
             if k.any():
                 yield i[k], j[k]
