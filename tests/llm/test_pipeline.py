@@ -124,3 +124,30 @@ def packed_as(given, got):
 def test_packing_and_run(spark, folder, outputs):
     packed_as(rows(outputs[4]), outputs[5].collect())
     packed_as(rows(outputs[4]), corpus_pipeline.run(spark, folder).collect())
+
+
+def five_words(text):
+    ws = (text or "").lower().split()
+    return {tuple(ws[k : k + 5]) for k in range(max(len(ws) - 4, 1))} if ws else set()
+
+
+def test_near_duplicates_by_similarity(spark):
+    r = random.Random(5)
+    texts = []
+    for _ in range(40):
+        base = [r.choice(WORDS) for _ in range(r.randint(30, 300))]
+        for edits in (0, 1, 2, 3, 5, 8, 12):
+            ws = list(base)
+            for _ in range(edits):
+                ws[r.randrange(len(ws))] = r.choice(WORDS)
+            texts.append(" ".join(ws))
+    texts += ["one two", "One  two", "one three"]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    sets, root = [five_words(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    got = sorted(x.doc_id for x in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert got == [i for i, x in enumerate(root) if x == i] and 40 < len(got) < len(texts) - 40
