@@ -12,7 +12,7 @@ own lines alone - join the pages again.
 
 Defined results: a null text stays null with no lines; white space around a line does not count in
 comparing lines but stays in kept ones; blank lines always stay; a null host is a host of its own;
-repeated rows count as pages of their own; an empty table gives no rows; other columns stay as they are.
+repeated rows count as pages of their own, or with `distinct` all rows of one host and text as one page; an empty table gives no rows; other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -40,20 +40,27 @@ def _sign(line: Column) -> Column:
     return F.struct(F.xxhash64(_trimmed(line)).alias("a"), F.xxhash64(F.lit(1), _trimmed(line)).alias("b"))
 
 
-def boilerplate(pages: DataFrame, host: Column, text_col: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """host, a, b (hash of the line), n (pages with it), pages (of the host)."""
+def _page_key(distinct: bool) -> list[Column]:
+    return [F.xxhash64("body").alias("ka"), F.xxhash64(F.lit(1), "body").alias("kb")] if distinct else []
+
+
+def boilerplate(pages: DataFrame, host: Column, text_col: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, distinct: bool = False) -> DataFrame:
+    """host, a, b (hash of the line), n (pages with it), pages (of the host). distinct: copies of a text are one page."""
     given = pages.select(host.alias("host"), F.col(text_col).alias("body"))
     lines = F.filter(F.split("body", "\n"), lambda x: _trimmed(x) != "")
-    counted = given.select("host", F.explode(F.array_distinct(F.transform(lines, _sign))).alias("s")).groupBy("host", "s.a", "s.b").agg(F.count("*").alias("n"))
-    totals = given.groupBy(F.col("host").alias("h")).agg(F.count("*").alias("pages"))
+    held, whole = given.select("host", *_page_key(distinct), F.explode(F.array_distinct(F.transform(lines, _sign))).alias("s")), given
+    if distinct:
+        held, whole = held.distinct(), given.select("host", *_page_key(distinct)).distinct()
+    counted = held.groupBy("host", "s.a", "s.b").agg(F.count("*").alias("n"))
+    totals = whole.groupBy(F.col("host").alias("h")).agg(F.count("*").alias("pages"))
     out = counted.where(F.col("n") >= least_pages).join(totals, F.col("host").eqNullSafe(F.col("h")))
     return out.where(F.col("n") > ratio * F.col("pages")).select("host", "a", "b", "n", "pages")
 
 
-def drop_lines(pages: DataFrame, host: Column, text_col: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, broadcast_rows: int = 200_000) -> DataFrame:
+def drop_lines(pages: DataFrame, host: Column, text_col: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, broadcast_rows: int = 200_000, distinct: bool = False) -> DataFrame:
     """The rows with boilerplate lines taken out of text_col, and n_lines and n_dropped after them
     (under other names where these are taken)."""
-    found = cut(boilerplate(pages, host, text_col, ratio, least_pages).select("host", F.struct("a", "b").alias("s")), "boilerplate")
+    found = cut(boilerplate(pages, host, text_col, ratio, least_pages, distinct).select("host", F.struct("a", "b").alias("s")), "boilerplate")
     h, gone, lines, h2, k, k2 = fresh(pages, "host_", "gone_", "lines_", "host2_", "key_", "key2_")
     n_lines, n_dropped = fresh(pages, "n_lines", "n_dropped")
     rows = pages.withColumn(h, host)

@@ -151,3 +151,14 @@ def test_near_duplicates_by_similarity(spark):
                 root = [min(a, b) if x in (a, b) else x for x in root]
     got = sorted(x.doc_id for x in corpus_pipeline.near_duplicates(spark, docs, "").collect())
     assert got == [i for i, x in enumerate(root) if x == i] and 40 < len(got) < len(texts) - 40
+
+
+def paged(spark, rows):
+    return spark.createDataFrame([(k, t, "en", s, len(t)) for k, (s, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+
+
+def test_lines_of_copies_are_no_boilerplate(spark):
+    own = "One document, line one.\nOne document, line two."
+    docs = paged(spark, [("s", own)] * 60 + [("s", f"Menu\nPage {k}.") for k in range(200)])
+    got = Counter(r.text for r in corpus_pipeline.lines(spark, docs, "").collect())
+    assert got == Counter({own: 60} | {f"Page {k}.": 1 for k in range(200)})
