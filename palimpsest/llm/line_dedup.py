@@ -1,7 +1,9 @@
 """Line dedup by site-relative frequency, in DataFrame functions alone.
 
 A line's ratio is the number of its host's pages that hold it, over all pages of the host. Lines
-beyond `ratio` on at least `least_pages` pages are the host's boilerplate and leave its pages.
+beyond `ratio` on at least `least_pages` pages are the host's boilerplate and leave its pages. Where
+`least_pages` is None it goes by the host's size: the pages that chance would hardly reach at `ratio`
+(two deviations above), at least FEWEST and at most LEAST_PAGES.
 
 Lines are counted by host and 128 bits of hash, each once per page and combined before the
 shuffle, so neither a hot host nor a hot line gathers in a task. What is dropped is applied in
@@ -24,6 +26,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from palimpsest.llm._base import cut, fresh, table
 
 RATIO, LEAST_PAGES = 0.05, 10
+#: Distinct pages that a repetition needs, however small the host is.
+FEWEST = 3
 
 
 def url_host(url: Column) -> Column:
@@ -44,7 +48,7 @@ def _page_key(distinct: bool) -> list[Column]:
     return [F.xxhash64("body").alias("ka"), F.xxhash64(F.lit(1), "body").alias("kb")] if distinct else []
 
 
-def boilerplate(pages: DataFrame, host: Column, text_col: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, distinct: bool = False) -> DataFrame:
+def boilerplate(pages: DataFrame, host: Column, text_col: str = "text", ratio: float = RATIO, least_pages: int | None = LEAST_PAGES, distinct: bool = False) -> DataFrame:
     """host, a, b (hash of the line), n (pages with it), pages (of the host). distinct: copies of a text are one page."""
     given = pages.select(host.alias("host"), F.col(text_col).alias("body"))
     lines = F.filter(F.split("body", "\n"), lambda x: _trimmed(x) != "")
@@ -53,11 +57,14 @@ def boilerplate(pages: DataFrame, host: Column, text_col: str = "text", ratio: f
         held, whole = held.distinct(), given.select("host", *_page_key(distinct)).distinct()
     counted = held.groupBy("host", "s.a", "s.b").agg(F.count("*").alias("n"))
     totals = whole.groupBy(F.col("host").alias("h")).agg(F.count("*").alias("pages"))
-    out = counted.where(F.col("n") >= least_pages).join(totals, F.col("host").eqNullSafe(F.col("h")))
+    out = counted.where(F.col("n") >= (FEWEST if least_pages is None else least_pages)).join(totals, F.col("host").eqNullSafe(F.col("h")))
+    if least_pages is None:
+        chance = ratio * F.col("pages") + 2 * F.sqrt(ratio * (1 - ratio) * F.col("pages"))
+        out = out.where(F.col("n") >= F.least(F.lit(float(LEAST_PAGES)), chance))
     return out.where(F.col("n") > ratio * F.col("pages")).select("host", "a", "b", "n", "pages")
 
 
-def drop_lines(pages: DataFrame, host: Column, text_col: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, broadcast_rows: int = 200_000, distinct: bool = False) -> DataFrame:
+def drop_lines(pages: DataFrame, host: Column, text_col: str = "text", ratio: float = RATIO, least_pages: int | None = LEAST_PAGES, broadcast_rows: int = 200_000, distinct: bool = False) -> DataFrame:
     """The rows with boilerplate lines taken out of text_col, and n_lines and n_dropped after them
     (under other names where these are taken)."""
     found = cut(boilerplate(pages, host, text_col, ratio, least_pages, distinct).select("host", F.struct("a", "b").alias("s")), "boilerplate")

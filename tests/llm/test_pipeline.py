@@ -162,3 +162,10 @@ def test_lines_of_copies_are_no_boilerplate(spark):
     docs = paged(spark, [("s", own)] * 60 + [("s", f"Menu\nPage {k}.") for k in range(200)])
     got = Counter(r.text for r in corpus_pipeline.lines(spark, docs, "").collect())
     assert got == Counter({own: 60} | {f"Page {k}.": 1 for k in range(200)})
+
+
+def test_lines_of_small_sources(spark):
+    host = lambda s, pages, n: [(s, f"Menu of {s}\nPage {k} of {s}." if k < n else f"Page {k} of {s}.") for k in range(pages)]
+    docs = paged(spark, host("a", 4, 4) + host("b", 40, 6) + host("c", 40, 3) + host("d", 2, 2) + host("e", 300, 14) + host("f", 300, 16))
+    got = corpus_pipeline.lines(spark, docs, "").collect()
+    assert {r.source for r in got if "Menu" in r.text} == {"c", "d", "e"}
