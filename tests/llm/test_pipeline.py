@@ -169,3 +169,11 @@ def test_lines_of_small_sources(spark):
     docs = paged(spark, host("a", 4, 4) + host("b", 40, 6) + host("c", 40, 3) + host("d", 2, 2) + host("e", 300, 14) + host("f", 300, 16))
     got = corpus_pipeline.lines(spark, docs, "").collect()
     assert {r.source for r in got if "Menu" in r.text} == {"c", "d", "e"}
+
+
+def test_near_duplicates_of_null_and_shared_ids(spark):
+    one, two, three, four = (prose(60) for _ in range(4))
+    rows = [(None, one), (None, one), (None, two), (7, three), (7, three), (7, four), (7, four), (None, four), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k}", 0) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = Counter((r.doc_id, r.text or "") for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert got == Counter([(None, one), (None, two), (7, three), (7, four), (None, "")])
