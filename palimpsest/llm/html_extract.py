@@ -30,7 +30,8 @@ from palimpsest.llm._base import table
 
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))"
-    r"|<(script|style|noscript|template|svg|iframe|object|canvas|select|textarea|title|button|audio|video|math)\b[^>]*+>.*?(?:</\1\s*>|\Z)"
+    r"|<(?:svg|math)(?=[\s/>])(?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+(?<=/)>"
+    r"|<(script|style|noscript|template|svg|iframe|object|canvas|select|textarea|title|button|audio|video|math)(?=[\s/>])[^>]*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+)>"
     r"|<[/!?a-zA-Z][^>]*+(?:>|\Z)",
     re.S | re.I,

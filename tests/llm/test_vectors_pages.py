@@ -88,3 +88,10 @@ def test_minimum_cut_is_minimal():
             return sum(max(o, 0) for o, s in zip(odds, side) if not s) + sum(max(-o, 0) for o, s in zip(odds, side) if s) + sum(c for a, b, c in edges if side[a] != side[b])
 
         assert abs(cost(html_extract.minimum_cut(odds, edges)) - min(map(cost, itertools.product((False, True), repeat=n)))) < 1e-6
+
+
+def test_pages_with_self_closed_and_custom_elements(spark):
+    article = "<article><p>The article, which is long enough to be told as the main text of this page by its words.</p></article>"
+    heads = ['<svg class="x" viewBox="0 0 1 1"/>', "<math/>", "<video-player src=a></video-player>", "<button-group>", "<title-bar>", "<svg><path d='a'/><text>no</text></svg>", "<title>no</title>"]
+    got = html_extract.extract(spark.createDataFrame([(k, "u", h + article) for k, h in enumerate(heads)], "page_id long, url string, html string")).collect()
+    assert len(got) == len(heads) and all(r.text.startswith("The article, which") for r in got)
