@@ -2,7 +2,8 @@
 follow-the-regularised-leader updates and applied as sparse dot products.
 
 Training sees a bounded sample of the labelled rows: the `sample` documents of least hash among
-those that may be learnt from, and of them, in that order, at most `sample_bytes` of text. One
+those that may be learnt from, each by at most its first `TEXT_CHARS` characters, and of them, in
+that order, at most `sample_bytes` of text. One
 task trains on it and returns the weights that are not zero, at most 2**bits. Scoring covers every
 row and whole texts, reads nothing but the text, and shuffles nothing.
 
@@ -24,6 +25,8 @@ from palimpsest.llm._base import table
 from palimpsest.llm._features import fit, scores, sigmoid
 
 FOLDS, THRESHOLD = 5, 0.3
+#: One labelled text's share of the sample, which no text can so fill alone.
+TEXT_CHARS = 1 << 18
 
 
 def fold(id_col: str):
@@ -37,21 +40,24 @@ def sample(docs: DataFrame, labels: DataFrame, label, rows: int, id_col: str = "
         .groupBy("i").agg((F.avg("y") > 0.5).cast("int").alias("y"))
         .orderBy(F.xxhash64("i"), "i").limit(rows)
     )
-    texts = docs.select(F.col(id_col).alias("j"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("j"), F.left(F.col(text_col), F.lit(TEXT_CHARS)).alias("text"))
     return F.broadcast(one).join(texts, F.col("i") == F.col("j")).select("y", "text", F.xxhash64("i").alias("at"))
 
 
 def first_bytes(batches, most: int) -> pa.Table:
     """y and text of the rows of least `at`, as many as `most` bytes of text allow, in the order of
-    `at`. No more than a batch beyond that is held at any time."""
+    `at`. No more than a batch and a text beyond that is held at any time: the first text that does not
+    fit is kept till the end, so that none after it enters with a later batch."""
     held: pa.Table | None = None
+    room = 0
     for b in batches:
         t = pa.Table.from_batches([b])
         held = t if held is None else pa.concat_tables([held, t])
         held = held.sort_by([("at", "ascending"), ("y", "ascending"), ("text", "ascending")])
         size = np.cumsum([len((x.as_py() or "").encode()) for x in held["text"]])
-        held = held.slice(0, int(np.searchsorted(size, most, "right"))).combine_chunks()
-    return held if held is not None else pa.table({"y": pa.array([], pa.int32()), "text": pa.array([], pa.string()), "at": pa.array([], pa.int64())})
+        room = int(np.searchsorted(size, most, "right"))
+        held = held.slice(0, room + 1).combine_chunks()
+    return held.slice(0, room) if held is not None else pa.table({"y": pa.array([], pa.int32()), "text": pa.array([], pa.string()), "at": pa.array([], pa.int64())})
 
 
 def train(docs: DataFrame, labels: DataFrame, label=None, bits: int = 18, rows: int = 8192, sample_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, float]:

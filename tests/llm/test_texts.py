@@ -220,3 +220,15 @@ def test_mixing_meets_targets(spark, none):
     mixed = mixing.mix(docs, labels, targets=targets, bits=14)
     assert mixed.columns == docs.columns and mixed.count() == got.copies.sum()
     assert mixing.rates(none.select("doc_id", "text"), labels, targets, bits=14, train_on=docs).count() == 0
+
+
+def test_sample_goes_on_after_a_long_text(spark):
+    import pyarrow as pa
+
+    part = lambda ks: pa.RecordBatch.from_pydict({"y": [k % 2 for k in ks], "text": ["x" * (150 if k == 2 else 30) for k in ks], "at": ks}, pa.schema([("y", pa.int32()), ("text", pa.string()), ("at", pa.int64())]))
+    for batches in ([range(9)], [range(3), range(3, 9)], [range(3, 9), range(3)], [[2, 5], [0, 8], [1, 3, 4, 6, 7]]):
+        assert quality_classifier.first_bytes([part(list(b)) for b in batches], 100)["at"].to_pylist() == [0, 1], batches
+    docs = spark.createDataFrame([(k, "word " * (200_000 if k == 0 else 5)) for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    chosen = quality_classifier.sample(docs, labels, F.col("quality"), 100).collect()
+    assert len(chosen) > 25 and max(len(r.text) for r in chosen) <= 1 << 18
