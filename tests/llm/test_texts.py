@@ -120,7 +120,59 @@ def test_quality_rules(odd, none):
 def test_estimate_separates_what_rules_agree_on():
     good, tables = quality_rules.estimate([((1, 1, 1), 900), ((-1, 1, 1), 60), ((1, -1, -1), 40)])
     p = [quality_rules.posterior(v, good, tables) for v in ((1, 1, 1), (-1, 1, 1), (1, -1, -1), (0, 0, 0))]
-    assert p[0] > 0.9 and p[1] < 0.5 and p[2] < 0.1 and 0 < p[3] < 1
+    assert p[0] > 0.9 and p[1] > 0.5 and p[2] < 0.1 and 0 < p[3] < 1
+
+
+def brute_estimate(votes, prior=0.8, rounds=200, least=1e-7):
+    """Expectation-maximisation by plain loops over documents."""
+    m = len(votes[0])
+    good, t = prior, {(z, j, v): quality_rules.BEGIN[z][v + 1] for z in (0, 1) for j in range(m) for v in (-1, 0, 1)}
+    for _ in range(rounds):
+        soft = []
+        for d in votes:
+            a, b = good, 1 - good
+            for j, v in enumerate(d):
+                a, b = a * t[1, j, v], b * t[0, j, v]
+            soft.append(a / (a + b))
+        new = (sum(soft) + 1) / (len(votes) + 2)
+        for z in (0, 1):
+            w = [p if z else 1 - p for p in soft]
+            for j in range(m):
+                for v in (-1, 0, 1):
+                    t[z, j, v] = (sum(x for x, d in zip(w, votes) if d[j] == v) + 1 / 3) / (sum(w) + 1)
+        moved, good = abs(new - good), new
+        if moved < least:
+            break
+    return good, t, soft
+
+
+def test_kept_is_the_estimate_over_documents_and_not_all_must_pass(spark):
+    r = random.Random(3)
+    sentence = lambda: " ".join(r.choice(VOCABULARY) for _ in range(12)) + "."
+    texts = ["\n".join(sentence() for _ in range(r.randint(6, 20))) for _ in range(150)]
+    texts += ["\n".join(sentence() + "\nmore" for _ in range(8)) for _ in range(6)]  # repeats lines, and is well otherwise
+    texts += [" ".join(w + r.choice(("&&&", "%%%", "***")) for w in sentence().split() * 8) for _ in range(15)]
+    texts += [" | ".join(r.choice(VOCABULARY) for _ in range(90)) for _ in range(15)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    names = list(quality_rules.rules())
+    got = sorted(quality_rules.judge(docs).collect(), key=lambda x: x.doc_id)
+    votes = [tuple(x[k] for k in names) for x in got]
+    good, t, _ = brute_estimate(votes)
+    for x, d in zip(got, votes):
+        odds = np.log(good / (1 - good)) + sum(np.log(t[1, j, v] / t[0, j, v]) for j, v in enumerate(d))
+        assert abs(x.quality - 1 / (1 + np.exp(-odds))) < 1e-6 and x.kept == (not x.base_failed and odds >= 0)
+    assert all(x.kept for x in got[:150]) and not any(x.kept for x in got[156:])
+    assert any(x.kept and -1 in d for x, d in zip(got, votes))
+
+
+def test_equal_windows_are_told_by_words_alone(spark, monkeypatch):
+    from pyspark.sql import functions
+
+    real = functions.xxhash64
+    monkeypatch.setattr(quality_rules.F, "xxhash64", lambda *c: functions.length(c[0]).cast("long") if len(c) == 3 else real(*c))  # nearly all hashes clash
+    texts = [" ".join(R.choice(("aa", "bb", "cc", "d")) for _ in range(n)) for n in (5, 12, 40, 90)]
+    got = quality_rules.signals(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {x.id: x.n_repeat_words for x in got} == {k: brute_rules(t)[4] for k, t in enumerate(texts)}
 
 
 def brute_licenses(text):
