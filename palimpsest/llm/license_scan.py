@@ -1,14 +1,16 @@
 """License scan by diagonal voting, in DataFrame functions alone.
 
-1. Every text's words give rolling hashes of `k` words with their places. They are joined with the
-   same hashes of the templates, a fixed table in this module (so its broadcast is bounded): only hits leave the scan.
+1. Every text's words give rolling hashes of `k` words with their places. Those that a template
+   has leave the row and are joined with the templates' places, by hash and then by the words
+   themselves; the templates are a fixed table in this module, so its broadcast is bounded.
 2. A hit at word p of the text and word t of the template votes for the diagonal p - t. Votes are
    summed per document, template and diagonal.
-3. Neighbouring diagonals, at most `drift` apart within one window of the template's length, are
-   merged: words put in or left out shift a copy's diagonal.
-4. Merged spans with enough votes are verified: as many words of the template stand in the span
-   as `covered` of its length asks for. Phrases ask for all of theirs in one diagonal, which makes
-   places of consecutive words exact.
+3. Every diagonal is merged with its neighbours up to `drift` away: words put in or left out shift
+   a copy's diagonal. A merged span so reaches no further than the template's length and twice the
+   drift, and takes nothing away from any other.
+4. Spans are verified: as many runs of the template's words stand in the span as `covered` of its
+   length asks for; of overlapping ones the best stays, the first of equals. Phrases ask for all of
+   theirs in one diagonal, which makes places of consecutive words exact.
 
 Only hits are shuffled, by document, template and diagonal; a hot source has no key of its own.
 
@@ -77,36 +79,41 @@ def _templates() -> list[tuple[str, str, bool]]:
 
 
 def template_grams(spark: SparkSession, k: int) -> DataFrame:
-    """t (template), label, base, n_t (its grams, 63 at most), at (place of the gram), gram."""
+    """t (template), label, base, n_t (its grams, 63 at most), at (place of the gram), gram, said (its words)."""
     rows = [(i, label, base, text.split(" ")) for i, (label, text, base) in enumerate(_templates())]
     if any(not 0 < len(r[3]) - (k - 1) < 64 for r in rows):
         raise ValueError("templates need 1 to 63 runs of k words")
     made = spark.createDataFrame(rows, "t int, label string, base boolean, w array<string>").withColumn("n_t", F.size("w") - (k - 1))
-    return made.select("t", "label", "base", "n_t", F.posexplode(grams(F.col("w"), k)).alias("at", "gram")).where("at < n_t")
+    told = F.transform(grams(F.col("w"), k), lambda g, at: F.struct(at.alias("at"), g.alias("gram"), F.concat_ws(" ", F.slice("w", at + 1, k)).alias("said")))
+    return made.select("t", "label", "base", "n_t", F.inline(told)).where("at < n_t")
 
 
-def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 2, drift: int = 3, covered: float = 0.8) -> DataFrame:
+def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 2, drift: int = 6, covered: float = 0.8) -> DataFrame:
     """doc, sig, label, base, first, last (places of words), share: verified places of templates.
     sig tells apart the texts of one id."""
+    known = template_grams(docs.sparkSession, k)
+    hashes = sorted({r["gram"] for r in known.select("gram").collect()})  # as many as the templates have words
     given = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("sig"), words(F.col(text_col)).alias("w"))
-    told = F.broadcast(template_grams(docs.sparkSession, k))
-    hits = given.select("doc", "sig", F.posexplode(grams(F.col("w"), k)).alias("p", "gram")).join(told, "gram")
+    placed = F.transform(grams(F.col("w"), k), lambda g, p: F.struct(p.alias("p"), g.alias("gram")))
+    held = F.filter(placed, lambda h: h["gram"].isin(hashes))
+    said = F.transform(held, lambda h: F.struct(h["p"].alias("p"), h["gram"].alias("gram"), F.concat_ws(" ", *(F.get("w", h["p"] + j) for j in range(k))).alias("said")))
+    # in one expression over w: a filter on it would be pushed below w and split the text for every word
+    hits = given.select("doc", "sig", F.inline(said)).join(F.broadcast(known), ["gram", "said"])
     key = ["doc", "sig", "t", "label", "base", "n_t"]
     # the template's places on a diagonal as bits: rows of equal id and text vote for the same bits
     found = F.bit_or(F.expr("shiftleft(1L, at)"))
     votes = hits.withColumn("diagonal", F.col("p") - F.col("at")).groupBy(*key, "diagonal").agg(found.alias("bits"), F.min("p").alias("first"), (F.max("p") + (k - 1)).alias("last"))
     votes = cut(votes, "votes")  # both branches below start from it, and words are generated once
     exact = votes.where("base and bit_count(bits) = n_t").select("doc", "sig", "label", "base", "first", "last", F.lit(1.0).alias("share"))
-    w = Window.partitionBy(*key).orderBy("diagonal")
-    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(w) > drift, F.lit(True))
-    grouped = votes.where("not base").withColumn("group", F.sum(apart.cast("int")).over(w))
-    merged = grouped.groupBy(*key, "group").agg(F.bit_or("bits").alias("bits"), F.min("first").alias("first"), F.max("last").alias("last"))
-    merged = merged.withColumn("share", F.expr("bit_count(bits) / n_t"))
-    wide = F.col("last") - F.col("first") + 1 <= F.col("n_t") * (2 - covered) + drift + k
-    return exact.unionByName(merged.where((F.col("share") >= covered) & wide).select("doc", "sig", "label", "base", "first", "last", "share"))
+    w = Window.partitionBy(*key).orderBy("diagonal").rangeBetween(-drift, drift)
+    merged = votes.where("not base").select(*key, "diagonal", F.bit_or("bits").over(w).alias("bits"), F.min("first").over(w).alias("first"), F.max("last").over(w).alias("last"))
+    merged = merged.withColumn("share", F.expr("bit_count(bits) / n_t")).where(F.col("share") >= covered)
+    rank = F.struct("share", (-F.col("diagonal")).alias("before"))
+    merged = merged.withColumn("best", F.max(rank).over(w) == rank).where("best")
+    return exact.unionByName(merged.select("doc", "sig", "label", "base", "first", "last", "share"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 2, drift: int = 3, covered: float = 0.8) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 2, drift: int = 6, covered: float = 0.8) -> DataFrame:
     """id, n_words, n_base, first_word, last_word, base_labels, labels, score; one row per document."""
     found = spans(docs, id_col, text_col, k, drift, covered)
     base = lambda c: F.when(F.col("base"), F.col(c))
@@ -115,7 +122,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
         F.count_if("base").alias("n_base"), F.min(base("first")).cast("long").alias("first_word"), F.max(base("first")).cast("long").alias("last_word"),
         listed(base("label")).alias("base_labels"), listed("label").alias("labels"), F.max("share").alias("score"),
     )
-    rows = docs.select(F.col(id_col).alias("doc_"), F.xxhash64(text_col).alias("sig_"), F.size(words(F.col(text_col))).cast("long").alias("n_words"))
+    rows = docs.select(F.col(id_col).alias("doc_"), F.xxhash64(text_col).alias("sig_"), F.regexp_count(lowered(F.col(text_col)), F.lit(WORD + "+")).cast("long").alias("n_words"))
     out = rows.join(told, rows["doc_"].eqNullSafe(told["doc"]) & (rows["sig_"] == told["sig"]), "left")
     return out.select(
         F.col("doc_").alias(id_col), "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
@@ -127,7 +134,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
-def _sql(k: int = 2, drift: int = 3, covered: float = 0.8) -> str:
+def _sql(k: int = 2, drift: int = 6, covered: float = 0.8) -> str:
     """The same votes over words instead of hashes, for k = 2."""
     rows = ", ".join(f"({i}, '{label}', {str(base).lower()}, string_split('{text}', ' '))" for i, (label, text, base) in enumerate(_templates()))
     return f"""
@@ -142,15 +149,14 @@ told AS (
 pairs AS (SELECT r, p, w[p + 1] AS a, w[p + 2] AS b FROM docs, unnest(range(len(w) - 1)) AS u(p)),
 hits AS (SELECT r, t, label, base, n_t, p, k, p - k AS diagonal FROM pairs JOIN told USING (a, b)),
 votes AS (SELECT r, t, label, base, n_t, diagonal, min(p) AS f, max(p) + 1 AS l, count(DISTINCT k) AS n FROM hits GROUP BY ALL),
-steps AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY r, t ORDER BY diagonal) > {drift} THEN 1 ELSE 0 END AS step FROM votes WHERE NOT base),
-groups AS (SELECT *, sum(step) OVER (PARTITION BY r, t ORDER BY diagonal) AS g FROM steps),
 merged AS (
-  SELECT g.r, g.t, g.label, g.n_t, g.g, min(h.p) AS f, max(h.p) + 1 AS l, count(DISTINCT h.k) / g.n_t AS share
-  FROM groups g JOIN hits h ON g.r = h.r AND g.t = h.t AND g.diagonal = h.diagonal GROUP BY g.r, g.t, g.label, g.n_t, g.g),
+  SELECT v.r, v.label, count(DISTINCT h.k) / v.n_t AS share
+  FROM votes v JOIN hits h ON v.r = h.r AND v.t = h.t AND h.diagonal BETWEEN v.diagonal - {drift} AND v.diagonal + {drift}
+  WHERE NOT v.base GROUP BY v.r, v.t, v.label, v.n_t, v.diagonal),
 spans AS (
   SELECT r, label, true AS base, f, 1.0::DOUBLE AS share FROM votes WHERE base AND n = n_t
   UNION ALL
-  SELECT r, label, false, f, share FROM merged WHERE share >= {covered} AND l - f + 1 <= n_t * (2 - {covered}::DOUBLE) + {drift + k}),
+  SELECT r, label, false, NULL, share FROM merged WHERE share >= {covered}),
 told_by AS (
   SELECT r, count(*) FILTER (base) AS n_base, min(f) FILTER (base) AS first_word, max(f) FILTER (base) AS last_word,
     string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score

@@ -197,6 +197,20 @@ def test_license_scan(odd, none):
     assert license_scan.scan(none).count() == 0
 
 
+def test_license_scan_of_copies_among_pieces(spark):
+    whole = "released under the mit license"
+    texts = ["the mit license the mit license " + whole + " the mit license the mit license", "the mit license " * 40 + whole, whole + " " + prose(9) + " " + whole, "Released - under the fine MIT License!", "the mit license " * 9]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.scan(docs).collect()}
+    assert got[0] == got[1] == got[2] == ("mit", 1.0) and got[4] == ("", 0.0) and got[3][0] == ""
+    assert license_scan.spans(docs).groupBy("doc").count().where("doc < 3").orderBy("doc").collect() == [(0, 1), (1, 1), (2, 2)]
+    said = license_scan.TEMPLATES["bsd"][0].split()
+    for n in (0, 3):  # words put in and left out
+        text = " ".join([*said[:6], *["extra"] * n, *said[6:12], *said[13:]])
+        (r,) = license_scan.scan(spark.createDataFrame([(1, prose(20) + " " + text + " " + prose(20))], "doc_id long, text string")).collect()
+        assert r.labels == "bsd" and 0.8 <= r.score < 1
+
+
 def test_line_dedup_both_ways(spark):
     rows = [(k, f"h{k % 2}", "\n".join(["Menu " if k % 3 else "menu?", f"line {k}", "", "  Menu"])) for k in range(40)] + [(99, "h0", None), (98, None, "Menu\nMenu"), (97, "h0", ""), (97, "h0", "")]
     pages = spark.createDataFrame(rows, "doc_id long, host string, text string")
