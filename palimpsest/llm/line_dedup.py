@@ -1,16 +1,18 @@
 """Line dedup by site-relative frequency, in DataFrame functions alone.
 
 A line's ratio is the number of its host's pages that hold it, over all pages of the host. Lines
-beyond `ratio` on at least `least_pages` pages are the host's boilerplate and leave its pages. Where
-`least_pages` is None it goes by the host's size: the pages that chance would hardly reach at `ratio`
-(two deviations above), at least FEWEST and at most LEAST_PAGES.
+beyond `ratio` on at least `least_pages` pages (three by default, as fewer is no habit of a site) are
+the host's boilerplate and leave its pages; the ratio decides alike for hosts of every size. Where
+`least_pages` is None a line must also beat chance: two deviations above what `ratio` makes likely, at
+most AMPLE pages, so that a few near copies in a small host don't take each other's lines. With
+`distinct` all rows of one host and text count as one page: copies are not boilerplate.
 
 Lines are counted by host and 128 bits of hash, each once per page and combined before the
 shuffle, so neither a hot host nor a hot line gathers in a task. What is dropped is applied in
-one of two ways with equal results. Where the boilerplate of all hosts is at most `broadcast_rows`
-lines, counted beforehand, it is broadcast as one array per host and nothing else moves. Beyond,
-only the pages' line hashes meet it, spread by host and hash, and the hits - of each page by its
-own lines alone - join the pages again.
+one of two ways with equal results. Where the boilerplate is at most `broadcast_rows` lines in all
+and `host_rows` for a host, counted beforehand, it is broadcast as one array per host and nothing
+else moves. Beyond, only the pages' line hashes meet it, spread by host and hash, and the places of
+hits - of each page its own alone - join the pages again.
 
 Defined results: a null text stays null with no lines; white space around a line does not count in
 comparing lines but stays in kept ones; blank lines always stay; a null host is a host of its own;
@@ -25,9 +27,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from palimpsest.llm._base import cut, fresh, table
 
-RATIO, LEAST_PAGES = 0.05, 10
-#: Distinct pages that a repetition needs, however small the host is.
-FEWEST = 3
+RATIO = 0.05
+#: Pages that a repetition needs, however small the host is, and that suffice for one beyond the ratio.
+FEWEST, AMPLE = 3, 10
 
 
 def url_host(url: Column) -> Column:
@@ -48,7 +50,7 @@ def _page_key(distinct: bool) -> list[Column]:
     return [F.xxhash64("body").alias("ka"), F.xxhash64(F.lit(1), "body").alias("kb")] if distinct else []
 
 
-def boilerplate(pages: DataFrame, host: Column, text_col: str = "text", ratio: float = RATIO, least_pages: int | None = LEAST_PAGES, distinct: bool = False) -> DataFrame:
+def boilerplate(pages: DataFrame, host: Column, text_col: str = "text", ratio: float = RATIO, least_pages: int | None = FEWEST, distinct: bool = False) -> DataFrame:
     """host, a, b (hash of the line), n (pages with it), pages (of the host). distinct: copies of a text are one page."""
     given = pages.select(host.alias("host"), F.col(text_col).alias("body"))
     lines = F.filter(F.split("body", "\n"), lambda x: _trimmed(x) != "")
@@ -60,30 +62,34 @@ def boilerplate(pages: DataFrame, host: Column, text_col: str = "text", ratio: f
     out = counted.where(F.col("n") >= (FEWEST if least_pages is None else least_pages)).join(totals, F.col("host").eqNullSafe(F.col("h")))
     if least_pages is None:
         chance = ratio * F.col("pages") + 2 * F.sqrt(ratio * (1 - ratio) * F.col("pages"))
-        out = out.where(F.col("n") >= F.least(F.lit(float(LEAST_PAGES)), chance))
+        out = out.where(F.col("n") >= F.least(F.lit(float(AMPLE)), chance))
     return out.where(F.col("n") > ratio * F.col("pages")).select("host", "a", "b", "n", "pages")
 
 
-def drop_lines(pages: DataFrame, host: Column, text_col: str = "text", ratio: float = RATIO, least_pages: int | None = LEAST_PAGES, broadcast_rows: int = 200_000, distinct: bool = False) -> DataFrame:
+def drop_lines(pages: DataFrame, host: Column, text_col: str = "text", ratio: float = RATIO, least_pages: int | None = FEWEST, broadcast_rows: int = 200_000, host_rows: int = 256, distinct: bool = False) -> DataFrame:
     """The rows with boilerplate lines taken out of text_col, and n_lines and n_dropped after them
     (under other names where these are taken)."""
     found = cut(boilerplate(pages, host, text_col, ratio, least_pages, distinct).select("host", F.struct("a", "b").alias("s")), "boilerplate")
     h, gone, lines, h2, k, k2 = fresh(pages, "host_", "gone_", "lines_", "host2_", "key_", "key2_")
     n_lines, n_dropped = fresh(pages, "n_lines", "n_dropped")
     rows = pages.withColumn(h, host)
-    if found.count() <= broadcast_rows:
+    sizes = found.groupBy("host").count().agg(F.sum("count").alias("n"), F.max("count").alias("most")).first()
+    all_lines = F.split(text_col, "\n")
+    if (sizes["n"] or 0) <= broadcast_rows and (sizes["most"] or 0) <= host_rows:
         told = F.broadcast(found.groupBy(F.col("host").alias(h2)).agg(F.collect_list("s").alias(gone)))
         rows = rows.join(told, F.col(h).eqNullSafe(F.col(h2)), "left")
+        left = F.filter(all_lines, lambda x: (_trimmed(x) == "") | ~F.array_contains(F.col(gone), _sign(x)))
     else:
         # pages of equal host and text lose the same lines, so these two name the pages' hits
         rows = rows.withColumn(k, F.struct(F.xxhash64(text_col).alias("a"), F.xxhash64(F.lit(1), F.col(text_col)).alias("b")))
-        each = rows.select(F.col(h).alias("host"), F.col(k).alias("k"), F.explode(F.array_distinct(F.transform(F.split(text_col, "\n"), _sign))).alias("s"))
+        each = rows.select(F.col(h).alias("host"), F.col(k).alias("k"), F.posexplode(F.transform(all_lines, _sign)).alias("p", "s"))
         each = each.alias("e").join(found.alias("f"), F.col("e.host").eqNullSafe(F.col("f.host")) & (F.col("e.s") == F.col("f.s")), "left_semi")
-        hits = each.groupBy(F.col("host").alias(h2), F.col("k").alias(k2)).agg(F.collect_set("s").alias(gone))
+        hits = each.groupBy(F.col("host").alias(h2), F.col("k").alias(k2)).agg(F.array_sort(F.collect_set("p")).alias(gone))
         rows = rows.join(hits, F.col(h).eqNullSafe(F.col(h2)) & (F.col(k) == F.col(k2)), "left")
-    all_lines = F.split(text_col, "\n")
-    stays = lambda x: (_trimmed(x) == "") | ~F.array_contains(F.col(gone), _sign(x))
-    rows = rows.withColumn(lines, F.when(F.col(gone).isNull(), all_lines).otherwise(F.filter(all_lines, stays)))
+        # the runs of lines between one dropped place and the next, and those after the last
+        before = F.transform(gone, lambda p, j: F.slice(all_lines, F.coalesce(F.get(F.col(gone), j - 1), F.lit(-1)) + 2, p - F.coalesce(F.get(F.col(gone), j - 1), F.lit(-1)) - 1))
+        left = F.flatten(F.concat(before, F.array(F.slice(all_lines, F.element_at(gone, -1) + 2, F.size(all_lines)))))
+    rows = rows.withColumn(lines, F.when(F.col(gone).isNull(), all_lines).otherwise(left))
     kept = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(lines, "\n"))
     n_all = F.coalesce(F.size(all_lines), F.lit(0))
     out = [F.when(F.col(text_col).isNotNull(), kept).alias(c) if c == text_col else F.col(f"`{c}`") for c in pages.columns]
@@ -93,18 +99,18 @@ def drop_lines(pages: DataFrame, host: Column, text_col: str = "text", ratio: fl
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return drop_lines(docs, F.col("source"))
+    return drop_lines(docs, F.col("source"), distinct=True)
 
 
 SQL = f"""
 WITH lines AS (
-  SELECT r, source, i, line, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS key
-  FROM (SELECT row_number() OVER () AS r, source, string_split(text, chr(10)) AS ls FROM documents) d, unnest(range(len(ls))) AS u(i), LATERAL (SELECT ls[i + 1] AS line)),
-counted AS (SELECT source, key, count(DISTINCT r) AS n FROM lines WHERE key <> '' GROUP BY ALL),
-totals AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
+  SELECT r, source, body, i, line, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS key
+  FROM (SELECT row_number() OVER () AS r, source, text AS body, string_split(text, chr(10)) AS ls FROM documents) d, unnest(range(len(ls))) AS u(i), LATERAL (SELECT ls[i + 1] AS line)),
+counted AS (SELECT source, key, count(DISTINCT body) AS n FROM lines WHERE key <> '' GROUP BY ALL),
+totals AS (SELECT source, count(DISTINCT text) + max((text IS NULL)::INT) AS pages FROM documents GROUP BY source),
 gone AS (
   SELECT c.source, c.key FROM counted c JOIN totals t ON c.source IS NOT DISTINCT FROM t.source
-  WHERE c.n >= {LEAST_PAGES} AND c.n > {RATIO}::DOUBLE * t.pages),
+  WHERE c.n >= {FEWEST} AND c.n > {RATIO}::DOUBLE * t.pages),
 cleaned AS (
   SELECT l.r, count(*) AS n_lines, count(g.key) AS n_dropped, coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (g.key IS NULL), '') AS text
   FROM lines l LEFT JOIN gone g ON l.source IS NOT DISTINCT FROM g.source AND l.key = g.key GROUP BY l.r)

@@ -71,7 +71,7 @@ def test_quality(spark, folder, outputs):
 def test_lines(outputs):
     given = [r for k, n in rows(outputs[1]).items() for r in [k] * n]
     pages, seen = Counter(r[3] for r in given), Counter((r[3], x) for r in given for x in {y.strip(" \t\r\x0b\x0c") for y in (r[1] or "").split("\n")} if x)
-    gone = {k for k, n in seen.items() if n >= line_dedup.LEAST_PAGES and n > line_dedup.RATIO * pages[k[0]]}
+    gone = {k for k, n in seen.items() if n >= line_dedup.AMPLE and n > line_dedup.RATIO * pages[k[0]]}
     want = Counter()
     for i, t, lang, source, _ in given:
         t = None if t is None else "\n".join(x for x in t.split("\n") if (source, x.strip(" \t\r\x0b\x0c")) not in gone)

@@ -228,6 +228,18 @@ def test_line_dedup_both_ways(spark):
     assert [h[0] for h in hosts] == ["a.example", "nohost", None]
 
 
+def test_line_dedup_by_the_ratio_at_every_size(spark):
+    host = lambda s, pages, n: [(s, f"Menu of {s}\nPage {k} of {s}." if k < n else f"Page {k} of {s}.") for k in range(pages)]
+    rows = host("a", 3, 3) + host("b", 40, 3) + host("c", 40, 2) + host("d", 300, 15) + host("e", 300, 16) + [("a", "copied\nlines")] * 20 + [("e", None)]
+    docs = spark.createDataFrame([(k, s, t) for k, (s, t) in enumerate(rows)], "doc_id long, source string, text string").repartition(3)
+    for how in ({}, {"broadcast_rows": 0}, {"host_rows": 0}):
+        got = line_dedup.drop_lines(docs, F.col("source"), distinct=True, **how).collect()
+        assert {r.source for r in got if "Menu" in (r.text or "")} == {"c", "d"} and sum(r.text == "copied\nlines" for r in got) == 20 and len(got) == len(rows)
+    mixed = [("z", "\n".join(["top", f"x{k}", "mid", "mid", f"y{k}", "", "end"])) for k in range(5)]
+    pages = spark.createDataFrame([(k, s, t) for k, (s, t) in enumerate(mixed)], "doc_id long, source string, text string")
+    assert sorted(r.text for r in line_dedup.drop_lines(pages, F.col("source"), broadcast_rows=0).collect()) == [f"x{k}\ny{k}\n" for k in range(5)]
+
+
 def brute_fingerprint(text):
     import xxhash
 
