@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 
@@ -19,11 +20,33 @@ _NUMBER = "0-9²³¹¼½¾"
 _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\s{_LETTER}{_NUMBER}]+")
 
 
+#: What a tokenizer file must say for words to be encoded apart by the pattern above; any other goes through its library.
+_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
+def by_words(path: str) -> bool:
+    """Whether the file's texts are normalised, split and merged as this module does it."""
+    with open(path) as f:
+        told = json.load(f)
+    steps = lambda k, name: (told.get(k) or {}).get(name)
+    model = told.get("model") or {}
+    plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    added = all(t["content"].startswith("<|") and not t["normalized"] and not t["lstrip"] and not t["rstrip"] for t in told.get("added_tokens") or [])
+    return steps("normalizer", "normalizers") == _NORMALIZER and steps("pre_tokenizer", "pretokenizers") == [_SPLIT, _BYTE_LEVEL] and model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and plain and added
+
+
 #: The printable characters by which byte-level vocabularies write bytes.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in _SHOWN)}
 
 
+def as_bytes(word: str) -> str:
+    """A word's bytes as the vocabulary writes them."""
+    return word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
+
+
 class Words(dict):
     """word -> its ids as bytes of little-endian numbers, encoded when first asked for. It
     forgets all when it holds `most` words, so that a worker's memory stays bounded."""
@@ -33,7 +56,7 @@ class Words(dict):
         self.model, self.kind, self.most = model, kind, most
 
     def __missing__(self, word: str) -> bytes:
-        shown = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
+        shown = as_bytes(word)
         if len(self) >= self.most:
             self.clear()
         ids = self[word] = array(self.kind, [t.id for t in self.model.tokenize(shown)]).tobytes()
@@ -41,12 +64,14 @@ class Words(dict):
 
 
 class WordTokens:
-    """Encoder for a vocabulary file of the tokenizers library with the word pattern above."""
+    """Encoder for a vocabulary file of the tokenizers library: word by word if the file splits texts
+    by the word pattern above, whole by the library if not."""
 
     def __init__(self, path: str):
         one_thread()
         from tokenizers import Tokenizer
 
+        self.path, self.apart = path, by_words(path)
         self.library = Tokenizer.from_file(path)
         self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
         self.width = int(self.kind[-1])
@@ -54,7 +79,7 @@ class WordTokens:
 
     def pieces(self, text: str) -> list[str] | None:
         """The words to encode apart, or None if only the library may split this text."""
-        if "<|" in text:
+        if not self.apart or "<|" in text:
             return None
         try:
             slow = text.encode("latin-1").translate(None, _QUICK_BYTES)

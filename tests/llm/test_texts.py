@@ -52,16 +52,64 @@ def test_token_counts(odd, none):
     assert token_counts.prefix_counts(none, PATH, tables=True).count() == 0
 
 
+ALL_SIGNS = "".join(chr(k) for k in range(0x180))
+TEXTS = ["Hello wörld, it's 42 days!! of  unbelievably long-windedness", "", "ab", "<|endoftext|> İx ab", "don't 'snow ''s I'll we'RE 're 'r '", ALL_SIGNS, "ΑΣ Σ, 中文字 12三 \x85 a\u3000b 🙂🙂 ǆ ﬁ", "e\u0301 cafe\u0301 a", "a\x1cb \u2028 x" * 3, "𝔘𝔫𝔦 Ⅷ ½² ١٢", "x" * 300]
+
+
 def test_prefix_tables_answer_every_prefix():
     from palimpsest.llm._tokens import word_tokens
 
-    for text in ["Hello wörld, it's 42 days!! of  unbelievably long-windedness", "", "ab", "<|endoftext|> İx ab", "don't 'snow ''s I'll"]:
+    for text in TEXTS:
         made = token_counts.PrefixCounts(text, word_tokens(PATH))
         want = [len(LIBRARY.encode(text[:n], add_special_tokens=False).ids) for n in range(len(text) + 1)]
-        assert [made.at(n) for n in range(len(text) + 1)] == want, text
+        assert made.counts.tolist() == want and made.total == want[-1], text
         for budget in range(0, made.total + 2):
             end = made.truncate(budget)
-            assert want[end] <= budget and (end == len(text) or budget < made.total or made.total == want[-1])
+            assert want[end] <= budget and all(n > budget for n in want[end + 1 :])
+
+
+def test_every_sign_alone_and_between_letters():
+    """All signs up to U+017F and a sample of all others, by word and by the library."""
+    from palimpsest.llm._tokens import word_tokens
+
+    encoder, r = word_tokens(PATH), random.Random(9)
+    signs = [chr(k) for k in range(0x180)] + [chr(r.choice([r.randrange(0x180, 0xD800), r.randrange(0xE000, 0x30000)])) for _ in range(1500)]
+    for c in signs:
+        for text in (c, f"a{c}b", f"it{c}s {c}{c} 'l{c}", f"Z{c}9{c}!"):
+            want = LIBRARY.encode(text, add_special_tokens=False).ids
+            assert encoder.ids(text).tolist() == want and token_counts.PrefixCounts(text, encoder).total == len(want), repr(text)
+
+
+def test_recurrence_of_prefixes_against_the_library():
+    from palimpsest.llm._prefix import Prefixes
+    from palimpsest.llm._tokens import _BYTES
+
+    made, model, r = Prefixes(PATH), LIBRARY.model, random.Random(4)
+    pieces = [t.replace("</w>", "") for t in LIBRARY.get_vocab()]
+    words = ["".join(r.choice(pieces) for _ in range(r.randint(1, 4))) for _ in range(1500)] + ["".join(r.choices(list(_BYTES.values()), k=9)) for _ in range(500)]
+    for w in filter(None, words):
+        assert list(made.counts(w)) == [len(model.tokenize(w[:k])) for k in range(1, len(w) + 1)], w
+
+
+def test_stored_tables_answer_without_the_tokenizer(spark, odd):
+    stored = token_counts.prefix_counts(odd.where("length(text) < 200 and doc_id is not null"), PATH, tables=True)
+    for n in (0, 3, 10, 1000):
+        got = stored.select("doc_id", token_counts.tokens_at(F.col("counts"), F.lit(n)).alias("at"), token_counts.chars_within(F.col("counts"), F.lit(n)).alias("within"), token_counts.fits(F.col("counts"), F.lit(n)).alias("fits")).collect()
+        for r in got:
+            texts = {t for i, t in ODD if i == r.doc_id}
+            (text,) = texts
+            want = [len(LIBRARY.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
+            assert r.at == want[min(n, len(text))] and r.within == max(k for k, x in enumerate(want) if x <= n) and r.fits == (want[-1] <= n)
+
+
+def test_other_tokenizer_files_go_through_their_library(spark):
+    from palimpsest.llm._tokens import word_tokens
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, encoder = Tokenizer.from_file(path), word_tokens(path)
+    for text in ("Two  words, it's\nHere", "", "é <|endoftext|> x"):
+        assert not encoder.apart and encoder.ids(text).tolist() == library.encode(text, add_special_tokens=False).ids
+        assert token_counts.PrefixCounts(text, encoder).counts.tolist() == [len(library.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
 
 
 def test_packing_is_a_partition_of_all_ids(odd, none):
