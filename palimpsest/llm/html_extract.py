@@ -1,11 +1,13 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page is split into blocks, the runs of text between block-level tags. A linear classifier gives
-each block its log-odds of being content: the capacity that ties it to the source (content) if
-positive, to the sink (boilerplate) if negative. Smoothness edges tie each block to the one before
-it, and to the block before it under the same parent, the more the nearer the two are in the
-document tree. The maximum flow leaves the cut of least cost; blocks still reached from the source
-are the main text.
+A page is split into blocks, the runs of text between block-level tags. A logistic regression over a
+block's length, punctuation, links, place, element and the names around it gives its log-odds of being
+content; bounded by CAP they are the capacity that ties the block to the source (content) if positive,
+to the sink (boilerplate) if negative. It is trained on pages of many layouts that are made here with
+their main text known (_layouts). Smoothness edges tie each block to the one before it, and to the
+block before it under the same parent, the more the nearer the two are in the document tree. CAP is of
+the edges' scale, so that neighbours can overrule the classifier on any block that no mark tells of. The
+maximum flow leaves the cut of least cost; blocks still reached from the source are the main text.
 
 Text of scripts, styles, forms' fields and other elements that are never shown as prose makes no
 block. Nothing is dropped or capped besides.
@@ -20,24 +22,27 @@ from __future__ import annotations
 import re
 from collections import deque
 from collections.abc import Callable
+from functools import lru_cache
 from html import unescape
 from math import log1p
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm._base import table
+from palimpsest.llm._layouts import layout
 
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))"
-    r"|<(?:svg|math)(?=[\s/>])(?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+(?<=/)>"
-    r"|<(script|style|noscript|template|svg|iframe|object|canvas|select|textarea|title|button|audio|video|math)(?=[\s/>])[^>]*+>.*?(?:</\1\s*>|\Z)"
+    r"|<svg(?=[\s/>])(?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+(?<=/)>"
+    r"|<(script|style|noscript|template|svg|iframe|object|canvas|select|textarea|title|button|audio|video|annotation|annotation-xml)(?=[\s/>])[^>]*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+)>"
     r"|<[/!?a-zA-Z][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr del input".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr del input math mi mo mn ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mtable mtr mtd mstyle mspace mpadded mphantom menclose semantics".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _SELF_CLOSING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -48,63 +53,97 @@ _BOILER = frozenset(
     "skip skiplink legal copyright disclaimer search form toc byline meta".split()
 )
 _BOILER_ROLE = frozenset("navigation banner contentinfo complementary search alert dialog alertdialog menu menubar form toolbar".split())
-_LAYOUT = re.compile(r"\b(?:with|has|no|without)-[a-z0-9_-]+")
-_COMMENTS = frozenset("comment comments commentlist disqus respond reply replies discussion remarks responses".split())
-_MAIN = frozenset("article articlebody post entry story content main body text prose".split())
+#: First parts of names that say how a page is laid out or filed, and last parts that say where a part stands.
+_FILED = frozenset("with has no without is category tag type format status theme postid page single template".split())
+_LAYOUT = frozenset("right left fixed sticky wide narrow full top bottom on off open enabled disabled visible".split())
+_COMMENTS = frozenset("comment comments commentlist disqus respond response reply replies discussion remarks responses".split())
+_MAIN = frozenset("article articlebody post entry story content main body text prose hentry".split())
+_CUES = re.compile(r"^(?:©|\(c\)|copyright\b|share\b|follow\b|sign up\b|log in\b|subscribe\b|advertisement\b|powered by\b)|\b(?:cookies?|newsletter|all rights reserved|privacy policy|terms of use|subscribe|register)\b", re.I)
+_PARTS = re.compile(r"[^a-z0-9]+")
+
+
+def named(value: str) -> int:
+    """What the names of an element say: 1 main text, -1 boilerplate, 0 nothing, 2 readers' comments."""
+    main = boiler = False
+    for name in value.split():
+        parts = [x for x in _PARTS.split(name) if x]
+        if not parts or parts[0] in _FILED:
+            continue
+        if not _COMMENTS.isdisjoint(parts):
+            return 2
+        if parts[-1] in _BOILER or parts[0] in _BOILER and parts[-1] not in _LAYOUT:
+            boiler = True
+        elif not _MAIN.isdisjoint(parts):
+            main = True
+    return -1 if boiler else int(main)
 
 
 class Place:
-    """An open element: its parent, depth, whether it is marked as main text, as boilerplate by its
-    tag or a name, or as readers' comments."""
+    """An open element: its parent and depth; tagged: the nearest mark by element or role, named: the
+    nearest by name (1 main text, -1 boilerplate); whether it is among readers' comments or hidden."""
 
-    __slots__ = ("tag", "parent", "depth", "main", "boiler", "named", "comments", "hidden", "last")
+    __slots__ = ("tag", "parent", "depth", "tagged", "named", "comments", "hidden", "last")
 
     def __init__(self, tag: str, attributes: str, parent: Place | None):
-        self.tag, self.parent = tag, parent
+        self.tag, self.parent, self.last = tag, parent, -1
         if parent is None:
-            self.depth, self.main, self.boiler, self.named, self.comments, self.hidden = 0, False, False, False, False, False
+            self.depth, self.tagged, self.named, self.comments, self.hidden = 0, 0, 0, False, False
         else:
-            self.depth, self.main, self.boiler, self.named, self.comments, self.hidden = parent.depth + 1, parent.main, parent.boiler, parent.named, parent.comments, parent.hidden
-        self.last = -1
-        if tag in _BOILER_TAG or tag == "header" and not self.main:
-            self.boiler = True
-        if tag in ("article", "main"):
-            self.main, self.named = True, False  # a name such as with-sidebar on what holds the article says nothing
+            self.depth, self.tagged, self.named, self.comments, self.hidden = parent.depth + 1, parent.tagged, parent.named, parent.comments, parent.hidden
+        main = tag == "main" or tag == "article" and not (self.tagged < 0 and parent.within("aside", "nav", "footer"))
+        if main:
+            self.tagged, self.named = 1, 0  # names such as with-sidebar on what holds the article say nothing
+        elif tag in _BOILER_TAG or tag == "header" and self.tagged < 1:
+            self.tagged = -1
         if attributes and tag not in ("html", "body"):
-            names: list[str] = []
+            names = []
             for key, value in _ATTRIBUTE.findall(attributes):
                 key, value = key.lower(), value.strip("\"'").lower()
                 if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
                     self.hidden = True
                 elif key == "role":
-                    self.boiler |= value in _BOILER_ROLE
-                    self.main |= value == "main"
+                    self.tagged = -1 if value in _BOILER_ROLE else 1 if value == "main" else self.tagged
                 elif key != "style":
-                    names += re.split(r"[^a-z0-9]+", _LAYOUT.sub("", value))
-            own = set(names)
-            self.comments |= not own.isdisjoint(_COMMENTS)
-            self.named |= not own.isdisjoint(_BOILER)
-            self.main |= not own.isdisjoint(_MAIN)
+                    names.append(value)
+            says = named(" ".join(names)) if names else 0
+            if says == 2:
+                self.comments = True
+            elif says and not main:
+                self.named = says
+
+    def within(self, *tags: str) -> bool:
+        up = self
+        while up is not None and up.tag not in tags:
+            up = up.parent
+        return up is not None
+
+
+_ELEMENTS = {"p": 0, "h1": 1, "h2": 2, "h3": 2, "h4": 2, "li": 3, "td": 4, "th": 4, "dt": 4, "dd": 4, "blockquote": 5, "pre": 5, "figcaption": 5}
+FEATURES = 22
 
 
 class Block:
     __slots__ = ("text", "place", "linked", "odds")
 
     def __init__(self, text: str, place: Place, linked: int):
-        self.text, self.place, self.linked = text, place, linked
-        words = text.count(" ") + 1
-        odds = -1.5 + 1.2 * log1p(words) / 2.3 - 3.5 * min(1.0, linked / len(text))
-        if place.main:
-            odds += 3.5
-        if place.boiler or place.named or place.comments or place.hidden:
-            odds -= 9.0
-        if place.tag in ("p", "blockquote", "pre", "h1"):
-            odds += 0.8
-        elif place.tag in ("li", "td", "th", "dt", "dd"):
-            odds -= 0.4
-        if text[-1] in ".!?…»”\"'":
-            odds += 0.4
-        self.odds = odds
+        self.text, self.place, self.linked, self.odds = text, place, linked, 0.0
+
+    def features(self, at: float) -> list[float]:
+        """at: the share of the page's text before the block."""
+        text, place = self.text, self.place
+        words, density = text.count(" ") + 1, min(1.0, self.linked / len(text))
+        element = [0.0] * 7
+        element[_ELEMENTS.get(place.tag, 6)] = 1.0
+        cue, outside = words < 30 and _CUES.search(text) is not None, place.tagged < 1 and place.named < 1
+        marks = text.count(",") + text.count(".") + text.count("?") + text.count("!")
+        return [
+            1.0, log1p(words), log1p(words) ** 2 / 5, density, density * log1p(words), float(text[-1] in ".!?…»”\"'"), min(1.0, marks / words), float(cue), float(cue and outside),
+            at, at * at, min(place.depth, 20) / 10, float(place.tagged > 0) - float(place.tagged < 0), float(place.tagged < 0), float(place.named > 0), *element,
+        ]
+
+    def marked(self) -> bool:
+        """Whether the page itself says that this is no main text: its classifier's feature is learnt, but comments and what is hidden are so by definition."""
+        return self.place.comments or self.place.hidden
 
 
 def split(html: str) -> list[Block]:
@@ -239,11 +278,41 @@ def minimum_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[
                     break
 
 
-def main_blocks(html: str | None, adjacent: float = 0.5, proximity: float = 1.5) -> list[str]:
-    """The texts of the blocks that are content, in page order."""
-    if not html:
-        return []
-    blocks = split(html)
+#: The bound of a block's log-odds, and the edges' capacities: of all neighbours, and besides by nearness in the tree.
+CAP, ADJACENT, PROXIMITY = 4.0, 0.5, 1.5
+
+
+def describe(blocks: list[Block]) -> np.ndarray:
+    """One row of features per block."""
+    sizes = np.cumsum([0, *(len(b.text) for b in blocks)])
+    rows = [[*b.features(a / max(sizes[-1], 1)), float(b.place.named < 0)] for b, a in zip(blocks, sizes.tolist())]
+    return np.array(rows, float).reshape(len(blocks), FEATURES + 1)
+
+
+@lru_cache(maxsize=4)
+def train(pages: int = 600, first: int = 0, l2: float = 1.0) -> tuple[float, ...]:
+    """The classifier's weights: logistic regression by Newton's steps on the blocks of made pages."""
+    x, y = [], []
+    for seed in range(first, first + pages):
+        html, content = layout(seed)
+        blocks = split(html)
+        rows = describe(blocks)
+        for b, row in zip(blocks, rows):
+            if not b.marked():
+                x.append(row)
+                y.append(b.text in content)
+    x, y = np.array(x), np.array(y, float)
+    w = np.zeros(x.shape[1])
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-x @ w))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + l2 * np.eye(len(w)), x.T @ (y - p) - l2 * w)
+        w += step
+        if np.abs(step).max() < 1e-8:
+            break
+    return tuple(w.tolist())
+
+
+def neighbours(blocks: list[Block], adjacent: float, proximity: float) -> list[tuple[int, int, float]]:
     edges: list[tuple[int, int, float]] = []
     for k, b in enumerate(blocks):
         if k:
@@ -252,18 +321,34 @@ def main_blocks(html: str | None, adjacent: float = 0.5, proximity: float = 1.5)
         if 0 <= holder.last < k - 1:
             edges.append((holder.last, k, proximity / (1 + apart(blocks[holder.last].place, b.place))))
         holder.last = k
+    return edges
+
+
+def labelled(html: str, weights: tuple[float, ...], adjacent: float = ADJACENT, proximity: float = PROXIMITY, cap: float = CAP) -> list[tuple[Block, bool]]:
+    """The page's blocks, with their odds set, and whether the cut leaves them on content's side."""
+    blocks = split(html)
+    if not blocks:
+        return []
+    for b, o in zip(blocks, (describe(blocks) @ np.array(weights)).tolist()):
+        b.odds = -2 * cap if b.marked() else max(-cap, min(cap, o))
+    edges = neighbours(blocks, adjacent, proximity)
     if all(b.odds > 0 for b in blocks):
-        return [b.text for b in blocks]
-    return [b.text for b, content in zip(blocks, minimum_cut([b.odds for b in blocks], edges)) if content]
+        return [(b, True) for b in blocks]
+    return list(zip(blocks, minimum_cut([b.odds for b in blocks], edges)))
+
+
+def main_blocks(html: str | None, weights: tuple[float, ...] | None = None) -> list[str]:
+    """The texts of the blocks that are content, in page order."""
+    return [b.text for b, content in labelled(html or "", weights or train()) if content]
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id, url, text, n_chars."""
-    kinds = dict(pages.dtypes)
+    kinds, weights = dict(pages.dtypes), train()
 
     def go(batches):
         for b in batches:
-            texts = ["\n\n".join(main_blocks(x.as_py())) for x in b.column(2)]
+            texts = ["\n\n".join(main_blocks(x.as_py(), weights)) for x in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["c0", "c1", "text", "n_chars"])
 
     given = pages.select(*(pages[c].alias(f"c{k}") for k, c in enumerate((id_col, url_col, html_col))))
