@@ -132,12 +132,13 @@ class Block:
         """at: the share of the page's text before the block."""
         text, place = self.text, self.place
         words, density = text.count(" ") + 1, min(1.0, self.linked / len(text))
+        size = log1p(min(words, 300))  # longer blocks are told by no more
         element = [0.0] * 7
         element[_ELEMENTS.get(place.tag, 6)] = 1.0
         cue, outside = words < 30 and _CUES.search(text) is not None, place.tagged < 1 and place.named < 1
         marks = text.count(",") + text.count(".") + text.count("?") + text.count("!")
         return [
-            1.0, log1p(words), log1p(words) ** 2 / 5, density, density * log1p(words), float(text[-1] in ".!?…»”\"'"), min(1.0, marks / words), float(cue), float(cue and outside),
+            1.0, size, size**2 / 5, density, density * size, float(text[-1] in ".!?…»”\"'"), min(1.0, marks / words), float(cue), float(cue and outside),
             at, at * at, min(place.depth, 20) / 10, float(place.tagged > 0) - float(place.tagged < 0), float(place.tagged < 0), float(place.named > 0), *element,
         ]
 
