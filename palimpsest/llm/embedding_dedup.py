@@ -4,9 +4,9 @@ Unit vectors with cosine >= c lie within squared distance D = 2 - 2c. A fixed ro
 variance, the axes are cut into blocks of `block` dimensions, and each block gets a share of D in
 proportion to its dimensions: of two vectors within D, some block's parts lie within its share.
 
-1. Equal vectors become one class with a count, named by the smallest id.
-2. Each block's space is cut into boxes at medians of a bounded sample, which steers speed alone;
-   a class is a member of the box it falls into and a visitor of the later boxes within the
+1. Equal vectors become one class with a count, named by the smallest id and told by 128 bits of hash.
+2. Each block's space is cut into boxes at medians of a sample, which steers speed alone and grows
+   with the number of boxes, PER_BOX for each, up to SAMPLE_BYTES; a class is a member of the box it falls into and a visitor of the later boxes within the
    block's radius. Boxes too full for one task are tiled, so a hot region spreads over tasks.
 3. In a tile, members and visitors within the share are candidates; a candidate counts in the
    first block where its parts are within the share, so the union of all blocks has it once. The
@@ -32,6 +32,9 @@ from palimpsest.llm._base import cut, table
 from palimpsest.llm._graph import components, settle, unite
 
 SLACK = 1e-9  # of squared distances, far over the rounding of double arithmetic
+ROUGH = 1e-5  # the same for single precision, in which pairs are sifted first
+#: Sampled vectors for each box, and the bytes of all: 65,536 boxes of 8,192 vectors of 64 dimensions.
+PER_BOX, SAMPLE_BYTES = 8, 128 << 20
 
 
 def rotation(dim: int, seed: int = 3) -> np.ndarray:
@@ -99,12 +102,14 @@ def linked(m: np.ndarray, v: np.ndarray, b: int, parts: list[slice], shares: np.
     mu, vu = unit(m), unit(v)
     mr, vr = mu @ turn, vu @ turn
     p = parts[b]
-    mm = np.einsum("ij,ij->i", mr[:, p], mr[:, p])
+    rough, other = np.ascontiguousarray(mr[:, p], np.float32), np.ascontiguousarray(vr[:, p], np.float32)
+    mm, vv = np.einsum("ij,ij->i", rough, rough), np.einsum("ij,ij->i", other, other)
+    twice = 2 * rough
     many = max(1, step // max(len(m), 1))
     for lo in range(0, len(v), many):
-        q = vr[lo : lo + many, p]
-        near = mm[:, None] + np.einsum("ij,ij->i", q, q)[None] - 2 * (mr[:, p] @ q.T)
-        i_all, j_all = np.nonzero(near <= shares[b] + 2 * SLACK)
+        near = twice @ other[lo : lo + many].T  # |a|^2 + |b|^2 - 2ab <= share
+        near -= mm[:, None]
+        i_all, j_all = np.nonzero(near >= vv[None, lo : lo + many] - np.float32(shares[b] + ROUGH))
         for at in range(0, len(i_all), 1 << 15):
             i, j = i_all[at : at + (1 << 15)], j_all[at : at + (1 << 15)] + lo
             for e in [b, *range(b)]:  # within this block's share, and in no earlier one's: near copies leave at the first
@@ -119,16 +124,25 @@ def linked(m: np.ndarray, v: np.ndarray, b: int, parts: list[slice], shares: np.
                 yield i[k], j[k]
 
 
-def near_classes(classes: DataFrame, dim: int, cosine: float, block: int = 8, box: int = 8192, sample_rows: int = 4096) -> DataFrame:
+def drawn(classes: DataFrame, total: int, boxes: int, dim: int) -> np.ndarray:
+    """Vectors for the boxes' medians: about PER_BOX for each box, 4096 at least, told by a hash of the class."""
+    rows = min(max(4096, PER_BOX * boxes), SAMPLE_BYTES // (8 * dim))
+    part = 1 << 20
+    some = classes if rows >= total else classes.where(F.pmod(F.xxhash64(F.lit(5), "cid"), F.lit(part)) < int(np.ceil(rows / total * part)))
+    t = some.select("v").toArrow().combine_chunks()
+    return t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim) if t.num_rows else np.zeros((0, dim))
+
+
+def near_classes(classes: DataFrame, dim: int, cosine: float, block: int = 8, box: int = 8192) -> DataFrame:
     """(cid, n, root): for tiles, vectors linked to a class and its smallest class there. classes: cid, n, v."""
     spark = classes.sparkSession
     total = classes.count()
     depth = max(0, int(np.ceil(np.log2(max(total, 1) / box))))
     parts, turn = blocks(dim, block), rotation(dim)
     share = (2 - 2 * cosine) * np.array([(p.stop - p.start) / dim for p in parts])
-    some = classes.orderBy(F.xxhash64("cid"), "cid").limit(sample_rows if depth else 1).select("v").collect()
-    drawn = unit(np.array([r["v"] for r in some], np.float64).reshape(-1, dim)) @ turn
-    shared = spark.sparkContext.broadcast([Boxes(drawn[:, p], depth) for p in parts])
+    some = drawn(classes, total, 1 << depth, dim) if depth else np.zeros((0, dim))
+    some = unit(some) @ turn if len(some) else some
+    shared = spark.sparkContext.broadcast([Boxes(some[:, p], depth) for p in parts])
 
     def matrix(column, n: int) -> np.ndarray:
         return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, dim)
@@ -180,38 +194,38 @@ def near_classes(classes: DataFrame, dim: int, cosine: float, block: int = 8, bo
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = 0.95, block: int = 8, box: int = 8192) -> DataFrame:
     """id, n_links, component_id, kept; one row per vector."""
-    v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
+    kind = "float" if dict(vectors.dtypes)[vec_col] == "array<float>" else "double"  # floats stay what they are
     # -0.0 + 0.0 is 0.0: vectors that are equal as numbers are one class
-    v = F.transform(v, lambda x: x + F.lit(0.0))
+    v = F.transform(F.col(vec_col), lambda x: x.cast(kind) + F.lit(0.0).cast(kind))
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     given = vectors.select(F.col(id_col).alias("id"), F.when(sound, v).alias("v"))
-    rows = cut(given, "vectors")
-    classes = cut(
-        rows.where("v is not null").groupBy("v").agg(F.count("*").alias("n"), F.min("id").cast("long").alias("named"))
-        .select(F.coalesce("named", F.lit(-(1 << 62)) + F.pmod(F.xxhash64("v"), F.lit(1 << 61))).alias("cid"), "n", "v"), "classes"
-    )
+    rows = cut(given.select("id", "v", F.xxhash64("v").alias("a"), F.xxhash64(F.lit(1), "v").alias("b")), "vectors")
+    good = rows.where("v is not null")
+    stand_in = lambda lo, bits: F.lit(-(1 << lo)) + F.pmod(F.col("a"), F.lit(1 << bits))
+    classes = good.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("id").cast("long").alias("named"), F.first("v").alias("v"))
+    classes = cut(classes.select("a", "b", "n", "named", "v", F.coalesce("named", stand_in(62, 61)).alias("cid"), F.size("v").alias("size")), "classes")
     if classes.groupBy("cid").count().where("count > 1").limit(1).count():  # repeated ids name two classes: each needs its own
         alone = F.count("*").over(Window.partitionBy("cid")) == 1
-        classes = cut(classes.withColumn("cid", F.when(alone, F.col("cid")).otherwise(F.lit(-(1 << 61)) + F.pmod(F.xxhash64("v"), F.lit(1 << 60)))), "classes")
-    classes = classes.withColumn("size", F.size("v"))
+        classes = cut(classes.withColumn("cid", F.when(alone, F.col("cid")).otherwise(stand_in(61, 60))), "classes")
     parts = []
-    for r in classes.select("size").distinct().orderBy("size").collect():  # one join for each length of vector
+    for r in classes.select("size").distinct().orderBy("size").toLocalIterator():  # one join for each length of vector
         own = classes.where(F.col("size") == r["size"]).select("cid", "n", "v")
         parts.append(cut(near_classes(own, r["size"], cosine, block, box), "linked"))
+    own = F.col("id").cast("long")
+    told = lambda df, links, least: df.select(F.col("id").alias(id_col), links.cast("long").alias("n_links"), least.alias("component_id"), F.coalesce(F.col("id") == least, F.lit(False)).alias("kept"))
+    alone = told(rows.where("v is null"), F.lit(0), own)
     if not parts:
-        return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").cast("long").alias("component_id"), F.lit(True).alias("kept"))
+        return alone
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
     counts = found.groupBy(F.col("cid").alias("c")).agg(F.sum("n").alias("links"))
     roots = components(found.where("cid != root"), "cid", "root")
-    named = classes.join(counts, F.col("cid") == F.col("c"), "left").join(roots, F.col("cid") == F.col("node"), "left")
-    named = named.select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "cid").alias("root"))
-    least = rows.where("v is not null").join(named.select("v", "root"), "v").groupBy("root").agg(F.min("id").cast("long").alias("least"))
-    named = named.join(least, "root").select("v", "n_links", "least")
-    out = rows.join(named, "v", "left")
-    own = F.coalesce("least", F.col("id").cast("long"))
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(False)).alias("kept"))
+    named = classes.drop("v").join(counts, F.col("cid") == F.col("c"), "left").join(roots, F.col("cid") == F.col("node"), "left")
+    named = named.select("a", "b", "named", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "cid").alias("root"))
+    least = named.groupBy("root").agg(F.min("named").alias("least"))
+    named = named.join(least, "root").select("a", "b", "n_links", "least")
+    return told(good.select("id", "a", "b").join(named, ["a", "b"]), F.col("n_links"), F.coalesce("least", own)).unionByName(alone)
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -135,3 +135,19 @@ def test_the_cut_mends_the_classifier():
             if (b.odds > 0) != kept:
                 right, wrong = right + (kept == is_content), wrong + (kept != is_content)
     assert right > wrong and right > 50 and missed < 0.02 * n
+
+
+def test_samples_grow_with_the_boxes(spark):
+    """Boxes and shards follow the number asked for, past 4,096, and not a fixed sample."""
+    from palimpsest.llm import simhash
+
+    r = np.random.default_rng(6)
+    x = r.standard_normal((1 << 15, 8))
+    assert [embedding_dedup.Boxes(x[:n], d).n for n, d in ((4096, 9), (1 << 15, 12), (1 << 15, 13))] == [512, 4096, 8192]
+    table = spark.range(60_000).select(F.col("id").alias("cid"), F.array(*[F.rand(k).cast("float") for k in range(4)]).alias("v"))
+    sizes = [len(embedding_dedup.drawn(table, 60_000, boxes, 4)) for boxes in (16, 2048, 1 << 14)]
+    assert 3500 < sizes[0] < 4700 and 15_000 < sizes[1] < 18_000 and sizes[2] == 60_000
+    prints = spark.range(60_000).select(F.xxhash64("id").alias("fp"))
+    sizes = [len(simhash.drawn(prints, 60_000, shards)) for shards in (16, 2048, 1 << 14)]
+    assert 3500 < sizes[0] < 4700 and 15_000 < sizes[1] < 18_000 and sizes[2] == 60_000
+    assert simhash.Tree(r.integers(0, 1 << 63, 1 << 16, np.int64).view(np.uint64), 13).shards > 6000
