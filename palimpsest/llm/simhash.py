@@ -2,8 +2,9 @@
 
 1. One fingerprint per text: XXH64 (seed 42) of its word shingles; a bit is set if it is in over
    half of them. Equal fingerprints become one class, named by its smallest id.
-2. A vantage-point tree halves the classes by Hamming distance from vantage points of a bounded
-   sample until a shard holds about `shard` of them. The sample steers speed alone.
+2. A vantage-point tree halves the classes by Hamming distance from vantage points of a sample
+   until a shard holds about `shard` of them. The sample steers speed alone; it grows with the number
+   of shards, PER_SHARD fingerprints for each, up to SAMPLE (32 MB, half a million shards).
 3. A class is a member of the shard it falls into and a visitor of the later shards that its ball
    of radius `most` overlaps: by the triangle inequality it goes inside a vantage point's radius m
    if d <= m + most, and outside if d > m - most. Each linked pair so meets once, in the later
@@ -129,13 +130,23 @@ def near_pairs(members: np.ndarray, visitors: np.ndarray, most: int, leaf: int =
                 yield m[i], v[lo + j]
 
 
-def near_classes(classes: DataFrame, most: int, shard: int = 8192, sample_rows: int = 4096) -> DataFrame:
+PER_SHARD, SAMPLE = 8, 1 << 22
+
+
+def drawn(classes: DataFrame, total: int, shards: int) -> np.ndarray:
+    """Fingerprints to take vantage points and radii from: about PER_SHARD for each shard, 4096 at least, told by their hash."""
+    rows = min(max(4096, PER_SHARD * shards), SAMPLE)
+    part = 1 << 20
+    some = classes if rows >= total else classes.where(F.pmod(F.xxhash64(F.lit(5), "fp"), F.lit(part)) < int(np.ceil(rows / total * part)))
+    return np.sort(some.select("fp").toArrow()["fp"].to_numpy()).view(np.uint64)
+
+
+def near_classes(classes: DataFrame, most: int, shard: int = 8192) -> DataFrame:
     """(a, b): edges that connect the classes (fp, first) as all pairs within `most` bits do."""
     spark = classes.sparkSession
     n = classes.count()
     depth = max(0, int(np.ceil(np.log2(max(n, 1) / shard))))
-    some = classes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample_rows if depth else 1)
-    tree = spark.sparkContext.broadcast(Tree(np.array([r["fp"] for r in some.collect()], np.int64).view(np.uint64), depth))
+    tree = spark.sparkContext.broadcast(Tree(drawn(classes, n, 1 << depth) if depth else np.zeros(0, np.uint64), depth))
 
     def route(batches):
         for b in batches:
