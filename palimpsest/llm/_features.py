@@ -77,11 +77,10 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def fit(texts: pa.Array, labels: np.ndarray, bits: int, epochs: int = 4, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Weights of 2**bits slots and the bias, for labels of 0 and 1; texts in the order given,
-    each epoch in another order."""
+def fit(texts: pa.Array, labels: np.ndarray, bits: int, epochs: int = 4, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of 2**bits slots and the bias for each column of labels of 0 and 1, -1 for none; texts in
+    the order given, each epoch in another order. The features are made once for all columns."""
     size = 1 << bits
-    model = Ftrl(size + 1)
     made: list[tuple[np.ndarray, np.ndarray]] = []
     for lo, hi, row, slot in features(texts, bits):
         key, times = np.unique(row * size + slot, return_counts=True)
@@ -89,9 +88,12 @@ def fit(texts: pa.Array, labels: np.ndarray, bits: int, epochs: int = 4, seed: i
         for k in range(hi - lo):
             c = times[cut[k] : cut[k + 1]]
             made.append((np.append(key[cut[k] : cut[k + 1]] % size, size), np.append(c / np.sqrt(max(c.sum(), 1)), 1.0)))
-    order = np.random.default_rng(seed)
-    for _ in range(epochs):
-        for k in order.permutation(len(made)):
-            model.learn(*made[k], labels[k])
-    w = model.weights()
-    return w[:-1], float(w[-1])
+    out = []
+    for y in labels.T:
+        model, order, known = Ftrl(size + 1), np.random.default_rng(seed), np.flatnonzero(y >= 0)
+        for _ in range(epochs):
+            for k in known[order.permutation(len(known))]:
+                model.learn(*made[k], y[k])
+        out.append(model.weights())
+    w = np.stack(out, 1)
+    return w[:-1], w[-1]

@@ -96,6 +96,10 @@ class WordTokens:
             return np.asarray(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
         return b"".join(map(self.words.__getitem__, ws))
 
+    def count(self, text: str) -> int:
+        """The number of ids of the whole text."""
+        return len(self.raw(text)) // self.width
+
     def ids(self, text: str) -> np.ndarray:
         return np.frombuffer(self.raw(text), self.kind)
 

@@ -19,7 +19,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from palimpsest.llm._base import table
 from palimpsest.llm._features import fit, scores, sigmoid
@@ -33,11 +33,13 @@ def fold(id_col: str):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS
 
 
-def sample(docs: DataFrame, labels: DataFrame, label, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """At most `rows` labelled documents that may be learnt from: y, text and a place in an order by hash."""
+def sample(docs: DataFrame, labels: DataFrame, label: list[Column], rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """At most `rows` labelled documents that may be learnt from: y (array, -1 where no label is known), text and a place in an order by hash."""
+    names = [f"y{k}" for k in range(len(label))]
+    known = labels.select(F.col(id_col).alias("i"), *(y.alias(k) for k, y in zip(names, label)))
     one = (
-        labels.select(F.col(id_col).alias("i"), label.alias("y")).where("i is not null and y is not null").where(fold("i") != 0)
-        .groupBy("i").agg((F.avg("y") > 0.5).cast("int").alias("y"))
+        known.where("i is not null").where(F.coalesce(*names).isNotNull()).where(fold("i") != 0)
+        .groupBy("i").agg(F.array(*(F.coalesce((F.avg(k) > 0.5).cast("int"), F.lit(-1)) for k in names)).alias("y"))
         .orderBy(F.xxhash64("i"), "i").limit(rows)
     )
     texts = docs.select(F.col(id_col).alias("j"), F.left(F.col(text_col), F.lit(TEXT_CHARS)).alias("text"))
@@ -53,53 +55,75 @@ def first_bytes(batches, most: int) -> pa.Table:
     for b in batches:
         t = pa.Table.from_batches([b])
         held = t if held is None else pa.concat_tables([held, t])
-        held = held.sort_by([("at", "ascending"), ("y", "ascending"), ("text", "ascending")])
+        held = held.sort_by([("at", "ascending"), ("text", "ascending")])
         size = np.cumsum([len((x.as_py() or "").encode()) for x in held["text"]])
         room = int(np.searchsorted(size, most, "right"))
         held = held.slice(0, room + 1).combine_chunks()
-    return held.slice(0, room) if held is not None else pa.table({"y": pa.array([], pa.int32()), "text": pa.array([], pa.string()), "at": pa.array([], pa.int64())})
+    return held.slice(0, room) if held is not None else pa.table({"y": pa.array([], pa.list_(pa.int32())), "text": pa.array([], pa.string()), "at": pa.array([], pa.int64())})
 
 
-def train(docs: DataFrame, labels: DataFrame, label=None, bits: int = 18, rows: int = 8192, sample_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, float]:
-    """Weights of 2**bits slots, and the bias."""
+def train_all(docs: DataFrame, labels: DataFrame, label: list[Column], bits: int = 18, rows: int = 8192, sample_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Weights of 2**bits slots, a column for each label, and the biases, from one reading of the documents."""
+    m = len(label)
 
     def go(batches):
         t = first_bytes(batches, sample_bytes)
         if t.num_rows:
-            w, bias = fit(t["text"].combine_chunks(), t["y"].to_numpy(), bits)
-            at = np.flatnonzero(w)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(w[at], bias))], ["slot", "w"])
-
-    chosen = sample(docs, labels, F.col("quality") if label is None else label, rows, id_col, text_col)
-    w, bias = np.zeros(1 << bits), 0.0
-    for r in chosen.repartition(1).mapInArrow(go, "slot long, w double").toLocalIterator():
-        if r["slot"] < 0:
-            bias = r["w"]
-        else:
-            w[r["slot"]] = r["w"]
+            w, bias = fit(t["text"].combine_chunks(), np.array(t["y"].to_pylist(), np.int64).reshape(-1, m), bits)
+            for k in range(m):
+                at = np.flatnonzero(w[:, k])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at) + 1, k, np.int32)), pa.array(np.append(at, -1)), pa.array(np.append(w[at, k], bias[k]))], ["label", "slot", "w"])
+
+    chosen = sample(docs, labels, label, rows, id_col, text_col)
+    w, bias = np.zeros((1 << bits, m)), np.zeros(m)
+    t = chosen.repartition(1).mapInArrow(go, "label int, slot long, w double").toArrow()
+    k, slot, value = (t[c].to_numpy() for c in ("label", "slot", "w"))
+    w[slot[slot >= 0], k[slot >= 0]] = value[slot >= 0]
+    bias[k[slot < 0]] = value[slot < 0]
     return w, bias
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, held_out, score, predicted and the columns in `keep`."""
+def train(docs: DataFrame, labels: DataFrame, label: Column | None = None, **how) -> tuple[np.ndarray, float]:
+    """Weights of 2**bits slots, and the bias."""
+    w, bias = train_all(docs, labels, [F.col("quality") if label is None else label], **how)
+    return w[:, 0], float(bias[0])
+
+
+def _scorer(docs: DataFrame, model: tuple[np.ndarray, float]) -> Callable:
     bits = int(len(model[0])).bit_length() - 1
     shared = docs.sparkSession.sparkContext.broadcast((model[0].astype(np.float32), model[1]))
 
-    def go(batches):
+    def score_of(texts: pa.Array) -> np.ndarray:
         w, bias = shared.value
-        w = w.reshape(-1, 1)
+        return sigmoid(scores(texts, w.reshape(-1, 1), [bias], bits)[:, 0])
+
+    return score_of
+
+
+def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """id, held_out, score, predicted."""
+    score_of = _scorer(docs, model)
+
+    def go(batches):
+        for b in batches:
+            s = score_of(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["c0", "score", "predicted"])
+
+    given = docs.select(F.col(id_col).alias("c0"), F.col(text_col).alias("c1"))
+    out = given.mapInArrow(go, f"c0 {dict(docs.dtypes)[id_col]}, score double, predicted int")
+    return out.select(F.col("c0").alias(id_col), F.coalesce(fold("c0") == 0, F.lit(True)).alias("held_out"), "score", "predicted")
+
+
+def accepted(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose score reaches the threshold, with all their columns, whatever their names."""
+    score_of, at, names = _scorer(docs, model), docs.columns.index(text_col), docs.columns
+    given = docs.toDF(*(f"c{k}" for k in range(len(names))))
+
+    def go(batches):
         for b in batches:
-            s = sigmoid(scores(b.column(0), w, [bias], bits)[:, 0])
-            cols = [*b.columns[1:], pa.array(s), pa.array((s >= threshold).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(cols, [*names, "score", "predicted"])
-
-    names = [f"c{k}" for k in range(1 + len(keep))]
-    kinds = dict(docs.dtypes)
-    given = docs.select(F.col(text_col), *(F.col(c).alias(n) for c, n in zip((id_col, *keep), names)))
-    schema = ", ".join(f"{n} {kinds[c]}" for c, n in zip((id_col, *keep), names)) + ", score double, predicted int"
-    out = given.mapInArrow(go, schema)
-    held = F.coalesce(fold("c0") == 0, F.lit(True))
-    return out.select(F.col("c0").alias(id_col), held.alias("held_out"), "score", "predicted", *(F.col(n).alias(c) for c, n in zip(keep, names[1:])))
+            yield b.filter(pa.array(score_of(b.column(at)) >= threshold))
+
+    return given.mapInArrow(go, given.schema).toDF(*names)
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

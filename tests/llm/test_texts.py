@@ -326,35 +326,103 @@ def test_quality_classifier(spark, odd, none):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
     held = [r for r in got if r.held_out]
     assert np.mean([r.predicted == int(r.doc_id < 400) for r in held]) > 0.97
-    out = quality_classifier.score(odd, model, keep=("score", "w")).collect()
+    out = quality_classifier.score(odd, model).collect()
     assert len(out) == len(ODD) and all(0 <= r.score <= 1 for r in out)
+    kept = quality_classifier.accepted(odd.withColumn("predicted", F.lit("mine")), model, threshold=0.5)
+    assert kept.columns == [*odd.columns, "predicted"] and kept.dtypes[2] == ("score", "double")
+    assert sorted(key(r.doc_id, r.text) for r in kept.collect()) == sorted(key(i, t) for (i, t), r in zip(ODD, [None] * len(ODD)) if quality_classifier.score(spark.createDataFrame([(i, t)], "doc_id long, text string"), model).first().score >= 0.5)
     assert quality_classifier.score(none, model).count() == 0
     untaught = quality_classifier.train(docs, labels.where("false"), bits=14)
     assert {r.score for r in quality_classifier.score(docs, untaught).collect()} == {0.5}
 
 
+def test_follow_the_regularised_leader_against_plain_loops():
+    import math
+
+    import pyarrow as pa
+
+    from palimpsest.llm import _features
+
+    texts, bits = [prose(R.randint(0, 30)) + R.choice(("", "!", " A")) for _ in range(60)], 12
+    y = np.array([[k % 2, -1 if k % 5 == 0 else int(k % 3 == 0)] for k in range(60)])
+    w, bias = _features.fit(pa.array(texts), y, bits, epochs=2)
+    docs = []
+    for lo, hi, row, slot in _features.features(pa.array(texts), bits):
+        for k in range(hi - lo):
+            at = slot[row == k].tolist()
+            docs.append({**{s: at.count(s) / math.sqrt(len(at)) for s in set(at)}, 1 << bits: 1.0})
+    for column in (0, 1):
+        z, n, order = {}, {}, np.random.default_rng(7)
+        weight = lambda s: 0.0 if abs(z.get(s, 0)) <= 0.3 else -(z[s] - math.copysign(0.3, z[s])) / ((0.05 + math.sqrt(n[s])) / 2.0 + 0.01)  # noqa: B023, E731
+        known = [k for k in range(60) if y[k, column] >= 0]
+        for _ in range(2):
+            for k in order.permutation(len(known)):
+                x, t = docs[known[k]], y[known[k], column]
+                old = {s: weight(s) for s in x}
+                g = 1 / (1 + math.exp(-sum(old[s] * v for s, v in x.items()))) - t
+                for s, v in x.items():
+                    before = n.get(s, 0.0)
+                    n[s] = before + (g * v) ** 2
+                    z[s] = z.get(s, 0.0) + g * v - (math.sqrt(n[s]) - math.sqrt(before)) / 2.0 * old[s]
+        assert abs(bias[column] - weight(1 << bits)) < 1e-9 and all(abs(w[s, column] - weight(s)) < 1e-9 for s in z if s < 1 << bits)
+        got = _features.scores(pa.array(texts), w, bias, bits)[:, column]
+        assert np.allclose(got, [sum(weight(s) * v for s, v in x.items()) for x in docs])
+
+
+def brute_rates(n, p, goal, ridge):
+    """Projected gradient with momentum over documents, until nothing moves."""
+    k, total = p.shape[1], n.sum()
+    r = ahead = np.ones(len(n))
+    t = 1.0
+    for _ in range(200_000):
+        e = (ahead * n) @ p / total - goal
+        new = np.maximum(0, ahead - (p @ e + ridge * k * (ahead - 1)) / (1 + ridge * k))
+        after = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        if (ahead - new) @ (new - r) > 0:  # momentum uphill: begin anew
+            after = 1.0
+        moved, ahead, r, t = np.abs(new - r).max(), new + (t - 1) / after * (new - r), new, after
+        if moved < 1e-12:
+            break
+    return r
+
+
+def test_rates_are_the_nonnegative_least_squares_solution(spark):
+    r = np.random.default_rng(3)
+    for goal in ([0.9, 0.07, 0.03], [0.2, 0.1, 0.7], [0.0, 0.5, 0.5]):
+        p = r.dirichlet([0.5, 0.2, 0.1], 300)
+        n = r.integers(0, 500, 300)
+        soft = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p)], "n_tokens long, p array<double>").repartition(3)
+        found = mixing.fit_rates(soft, np.array(goal), ridge=1e-2)
+        got = np.array([[*x.p, x.r] for x in soft.select("p", mixing.rate(F.col("p"), found.averages, found.pull).alias("r")).collect()])
+        want = {tuple(a): b for a, b in zip(p.tolist(), brute_rates(n, p, np.array(goal), 1e-2))}
+        assert found.steps < 40 and (got[:, 3] >= 0).all() and max(abs(x[3] - want[tuple(x[:3])]) for x in got) < 1e-4
+
+
 def test_mixing_meets_targets(spark, none):
     good = [(k, prose(60) + ".") for k in range(300)]
     bad = [(k, "!! ".join(w.upper() for w in prose(60).split())) for k in range(300, 400)]
-    docs = spark.createDataFrame(good + bad + [(500, None), (501, "")], "doc_id long, text string").withColumn("copies_", F.lit(1))
+    docs = spark.createDataFrame(good + bad + [(500, None), (501, "")], "doc_id long, text string").withColumn("copies_", F.lit(1)).withColumn("dotted.name", F.lit(1)).withColumn("p", F.lit("mine"))
     labels = spark.createDataFrame([(k, int(k < 300), 0) for k in range(400)], "doc_id long, quality int, toxic int")
     targets = {"clean": 0.9, "junk": 0.1}
-    got = mixing.rates(docs, labels, targets, bits=14).toPandas()
+    got = mixing.rates(docs, labels, PATH, targets, bits=14).toPandas()
     p, n, r = np.stack(got.p.to_numpy()), got.n_tokens.to_numpy(), got.rate.to_numpy()
-    assert np.abs((r * n) @ p / n.sum() - [0.9, 0.1]).max() < 0.01 and (r >= 0).all() and len(got) == 402
+    assert n.sum() == sum(len(LIBRARY.encode(t, add_special_tokens=False).ids) for _, t in good + bad)
+    assert np.abs((r * n) @ p / n.sum() - [0.9, 0.1]).max() < 0.002 and (r >= 0).all() and len(got) == 402
     assert (np.abs(got.copies - got.rate) <= 1).all()
-    mixed = mixing.mix(docs, labels, targets=targets, bits=14)
-    assert mixed.columns == docs.columns and mixed.count() == got.copies.sum()
-    assert mixing.rates(none.select("doc_id", "text"), labels, targets, bits=14, train_on=docs).count() == 0
+    mixed = mixing.mix(docs, labels, PATH, targets=targets, bits=14)
+    assert mixed.columns == docs.columns and sorted((r.doc_id, r.text or "", r.p) for r in mixed.collect()) == sorted((int(i), t or "", "mine") for i, t, c in zip(got.id, [dict(good + bad).get(i) for i in got.id], got.copies) for _ in range(c))
+    assert mixing.rates(none.select("doc_id", "text"), labels, PATH, targets, bits=14, train_on=docs).count() == 0
+    with pytest.warns(UserWarning, match="misses its targets"):
+        mixing.rates(docs.where("doc_id < 300"), labels, PATH, {"clean": 0.1, "junk": 0.9}, bits=14, train_on=docs)
 
 
 def test_sample_goes_on_after_a_long_text(spark):
     import pyarrow as pa
 
-    part = lambda ks: pa.RecordBatch.from_pydict({"y": [k % 2 for k in ks], "text": ["x" * (150 if k == 2 else 30) for k in ks], "at": ks}, pa.schema([("y", pa.int32()), ("text", pa.string()), ("at", pa.int64())]))
+    part = lambda ks: pa.RecordBatch.from_pydict({"y": [[k % 2] for k in ks], "text": ["x" * (150 if k == 2 else 30) for k in ks], "at": ks}, pa.schema([("y", pa.list_(pa.int32())), ("text", pa.string()), ("at", pa.int64())]))
     for batches in ([range(9)], [range(3), range(3, 9)], [range(3, 9), range(3)], [[2, 5], [0, 8], [1, 3, 4, 6, 7]]):
         assert quality_classifier.first_bytes([part(list(b)) for b in batches], 100)["at"].to_pylist() == [0, 1], batches
     docs = spark.createDataFrame([(k, "word " * (200_000 if k == 0 else 5)) for k in range(40)], "doc_id long, text string")
     labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
-    chosen = quality_classifier.sample(docs, labels, F.col("quality"), 100).collect()
+    chosen = quality_classifier.sample(docs, labels, [F.col("quality")], 100).collect()
     assert len(chosen) > 25 and max(len(r.text) for r in chosen) <= 1 << 18
