@@ -64,6 +64,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever signs it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def one_thread() -> None:
     """Keeps native libraries in Python workers to the core that Spark gave the task."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

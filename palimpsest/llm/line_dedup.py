@@ -25,7 +25,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from palimpsest.llm._base import cut, fresh, table
+from palimpsest.llm._base import cut, fresh, quoted, table
 
 RATIO = 0.05
 #: Pages that a repetition needs, however small the host is, and that suffice for one beyond the ratio.
@@ -92,7 +92,7 @@ def drop_lines(pages: DataFrame, host: Column, text_col: str = "text", ratio: fl
     rows = rows.withColumn(lines, F.when(F.col(gone).isNull(), all_lines).otherwise(left))
     kept = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(lines, "\n"))
     n_all = F.coalesce(F.size(all_lines), F.lit(0))
-    out = [F.when(F.col(text_col).isNotNull(), kept).alias(c) if c == text_col else F.col(f"`{c}`") for c in pages.columns]
+    out = [F.when(F.col(text_col).isNotNull(), kept).alias(c) if c == text_col else F.col(quoted(c)) for c in pages.columns]
     n = F.when(F.col(text_col).isNull(), 0).otherwise(n_all)
     return rows.select(*out, n.cast("long").alias(n_lines), F.when(F.col(text_col).isNull(), 0).otherwise(n_all - F.size(lines)).cast("long").alias(n_dropped))
 

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from palimpsest.llm._base import cut, table
+from palimpsest.llm._copies import near_copies
 from palimpsest.llm._graph import components, settle, unite
 
 
@@ -199,6 +200,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def similar(docs: DataFrame, text_col: str = "text", least: float = 0.8, most: int = 4, shard: int = 8192) -> DataFrame:
+    """a, b (_copies.text_key) of each distinct text and its component by links of five-word similarity
+    `least` or more, each checked exactly. The trees give the candidates within `most` bits; what lies
+    beyond any radius at which they prune comes from bands of minima (see _copies for both)."""
+    return near_copies(docs, lambda classes: near_classes(classes, most, shard), text_col, least)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
