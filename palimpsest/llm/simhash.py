@@ -24,7 +24,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -170,18 +169,18 @@ def near_classes(classes: DataFrame, most: int, shard: int = 8192) -> DataFrame:
     as_visitor = sent.select("fp", "first", "shard", F.lit(False).alias("home"), F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("x"), slot("down").alias("y"))
     # a member is a visitor of its own shard too: pairs of members meet twice, which the roots absorb
 
-    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        home = pdf["home"].to_numpy()
-        fps, firsts = pdf["fp"].to_numpy().view(np.uint64), pdf["first"].to_numpy()
+    def tile(t: pa.Table) -> pa.Table:
+        home = t["home"].to_numpy()
+        fps, firsts = t["fp"].to_numpy().view(np.uint64), t["first"].to_numpy()
         name, at = np.unique(firsts, return_inverse=True)  # ascending, so a root is the smallest id
         parent = np.arange(len(name))
         for i, j in near_pairs(fps[home], fps[~home], most):
             parent = unite(parent, at[home][i], at[~home][j])
         parent = settle(parent)
         k = np.flatnonzero(parent != np.arange(len(name)))
-        return pd.DataFrame({"a": name[k], "b": name[parent[k]]})
+        return pa.table({"a": name[k], "b": name[parent[k]]})
 
-    return as_member.unionByName(as_visitor).groupBy("shard", "x", "y").applyInPandas(tile, "a long, b long")
+    return as_member.unionByName(as_visitor).groupBy("shard", "x", "y").applyInArrow(tile, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, most: int = 4, shard: int = 8192) -> DataFrame:
