@@ -69,6 +69,34 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def release() -> None:
+    """Gives free memory of this process back to the system: Python workers are kept for later stages,
+    and what the allocators would keep for them adds to what the executor's other tasks need."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def frugal(f):
+    """A function for mapInArrow that leaves its worker small."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    return run
+
+
 def one_thread() -> None:
     """Keeps native libraries in Python workers to the core that Spark gave the task."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from palimpsest.llm._base import cut, table
+from palimpsest.llm._base import cut, frugal, table
 from palimpsest.llm._graph import components, settle, unite
 
 SLACK = 1e-9  # of squared distances, far over the rounding of double arithmetic
@@ -160,7 +160,7 @@ def near_classes(classes: DataFrame, dim: int, cosine: float, block: int = 8, bo
                 row, at, home = row[keep], at[keep], home[keep]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(np.full(len(row), k, np.int32)), pa.array(at.astype(np.int32)), pa.array(home)], ["cid", "block", "box", "home"])
 
-    routed = cut(classes.mapInArrow(route, "cid long, block int, box int, home boolean"), "boxes")
+    routed = cut(classes.mapInArrow(frugal(route), "cid long, block int, box int, home boolean"), "boxes")
     sizes = routed.groupBy("block", "box").agg(F.count_if("home").alias("m"), F.count("*").alias("r")).where("m > 0")
     tiles = sizes.select("block", "box", F.ceil(F.col("m") / (2 * box)).cast("int").alias("across"), F.ceil(F.col("r") / (4 * box)).cast("int").alias("down"))
     sent = routed.join(tiles, ["block", "box"])

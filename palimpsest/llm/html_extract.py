@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm._base import table
+from palimpsest.llm._base import frugal, table
 from palimpsest.llm._layouts import layout
 
 _TOKEN = re.compile(
@@ -353,7 +353,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["c0", "c1", "text", "n_chars"])
 
     given = pages.select(*(pages[c].alias(f"c{k}") for k, c in enumerate((id_col, url_col, html_col))))
-    out = given.mapInArrow(go, f"c0 {kinds[id_col]}, c1 {kinds[url_col]}, text string, n_chars long")
+    out = given.mapInArrow(frugal(go), f"c0 {kinds[id_col]}, c1 {kinds[url_col]}, text string, n_chars long")
     return out.withColumnsRenamed({"c0": id_col, "c1": url_col})
 
 

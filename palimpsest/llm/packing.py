@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from palimpsest.llm._base import cut, table
+from palimpsest.llm._base import cut, frugal, table
 from palimpsest.llm._tokens import word_tokens
 
 K1, B = 1.2, 0.75
@@ -44,7 +44,7 @@ def encode(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str)
             ids = pa.array([encoder.raw(x.as_py() or "") + last for x in b.column(1)], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), ids], [id_col, "ids"])
 
-    return docs.select(id_col, text_col).mapInArrow(go, f"`{id_col}` {dict(docs.dtypes)[id_col]}, ids binary")
+    return docs.select(id_col, text_col).mapInArrow(frugal(go), f"`{id_col}` {dict(docs.dtypes)[id_col]}, ids binary")
 
 
 class Shard:
@@ -146,7 +146,7 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 2, window: int = 40
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2])), pa.array(np.append(df[at], [n, tokens]))], ["term", "n"])
 
-    rows = coded.select("ids").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    rows = coded.select("ids").mapInArrow(frugal(frequencies), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     counted = {r["term"]: r["n"] for r in rows}
     n_docs, n_tokens = counted.pop(-1, 0), counted.pop(-2, 0)
     mean = n_tokens / max(n_docs, 1)
@@ -189,7 +189,7 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 2, window: int = 40
         if held:
             yield flush()
 
-    return coded.mapInArrow(go, schema)
+    return coded.mapInArrow(frugal(go), schema)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from palimpsest.llm._base import table
+from palimpsest.llm._base import frugal, table
 from palimpsest.llm._features import fit, scores, sigmoid
 
 FOLDS, THRESHOLD = 5, 0.3
@@ -76,7 +76,7 @@ def train_all(docs: DataFrame, labels: DataFrame, label: list[Column], bits: int
 
     chosen = sample(docs, labels, label, rows, id_col, text_col)
     w, bias = np.zeros((1 << bits, m)), np.zeros(m)
-    t = chosen.repartition(1).mapInArrow(go, "label int, slot long, w double").toArrow()
+    t = chosen.repartition(1).mapInArrow(frugal(go), "label int, slot long, w double").toArrow()
     k, slot, value = (t[c].to_numpy() for c in ("label", "slot", "w"))
     w[slot[slot >= 0], k[slot >= 0]] = value[slot >= 0]
     bias[k[slot < 0]] = value[slot < 0]
@@ -110,7 +110,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_i
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["c0", "score", "predicted"])
 
     given = docs.select(F.col(id_col).alias("c0"), F.col(text_col).alias("c1"))
-    out = given.mapInArrow(go, f"c0 {dict(docs.dtypes)[id_col]}, score double, predicted int")
+    out = given.mapInArrow(frugal(go), f"c0 {dict(docs.dtypes)[id_col]}, score double, predicted int")
     return out.select(F.col("c0").alias(id_col), F.coalesce(fold("c0") == 0, F.lit(True)).alias("held_out"), "score", "predicted")
 
 
@@ -123,7 +123,7 @@ def accepted(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "
         for b in batches:
             yield b.filter(pa.array(score_of(b.column(at)) >= threshold))
 
-    return given.mapInArrow(go, given.schema).toDF(*names)
+    return given.mapInArrow(frugal(go), given.schema).toDF(*names)
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from palimpsest.llm._base import cut, table
+from palimpsest.llm._base import cut, frugal, table
 from palimpsest.llm._copies import near_copies
 from palimpsest.llm._graph import components, settle, unite
 
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.array([fingerprint(x.as_py(), shingle) for x in b.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], [id_col, "fp"])
 
-    return docs.select(id_col, text_col).mapInArrow(go, f"`{id_col}` {dict(docs.dtypes)[id_col]}, fp long")
+    return docs.select(id_col, text_col).mapInArrow(frugal(go), f"`{id_col}` {dict(docs.dtypes)[id_col]}, fp long")
 
 
 def distance(a: np.ndarray, b) -> np.ndarray:
@@ -158,7 +158,7 @@ def near_classes(classes: DataFrame, most: int, shard: int = 8192) -> DataFrame:
             row, at, home = row[k], at[k], home[k]
             yield pa.RecordBatch.from_arrays([pa.array(fp[row]), b.column(1).take(pa.array(row)), pa.array(at.astype(np.int64)), pa.array(home)], ["fp", "first", "shard", "home"])
 
-    routed = cut(classes.select("fp", "first").mapInArrow(route, "fp long, first long, shard long, home boolean"), "routed")
+    routed = cut(classes.select("fp", "first").mapInArrow(frugal(route), "fp long, first long, shard long, home boolean"), "routed")
     sizes = routed.groupBy("shard").agg(F.count_if("home").alias("members"), F.count("*").alias("rows")).where("members > 0")
     # at most 4 * shard members and 16 * shard visitors meet in a task: a shard beyond is tiled
     across, down = F.ceil(F.col("members") / (4 * shard)).cast("int"), F.ceil(F.col("rows") / (16 * shard)).cast("int")

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from palimpsest.llm._base import table
+from palimpsest.llm._base import frugal, table
 from palimpsest.llm._prefix import Prefixes
 from palimpsest.llm._tokens import WordTokens, _PIECE, as_bytes, word_tokens
 
@@ -173,7 +173,7 @@ def prefix_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 out |= {"counts": pa.array(counts, pa.list_(pa.int32()))}
             yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
-    return docs.select(id_col, text_col).mapInArrow(count, schema)
+    return docs.select(id_col, text_col).mapInArrow(frugal(count), schema)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
