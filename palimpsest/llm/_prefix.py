@@ -22,10 +22,16 @@ class Prefixes:
         with open(path) as f:
             model = json.load(f)["model"]
         self.rank = {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): k for k, m in enumerate(model["merges"])}
-        self.inner = {t for t in model["vocab"] if not t.endswith(END)}
-        self.final = {t[: -len(END)] for t in model["vocab"] if t.endswith(END) and t != END}
-        self.tails = {t[k:] for t in self.inner | self.final for k in range(len(t))}
-        self.told: dict[tuple[str, str, bool], bool] = {}
+        inner = [t for t in model["vocab"] if not t.endswith(END)]
+        final = [t[: -len(END)] for t in model["vocab"] if t.endswith(END) and t != END]
+        self.signs = sorted({*inner, *final})
+        # every end of a token -> 0, or the token's number from 1 times 4, plus 1 within a word, 2 at its end
+        self.tails = {t[k:]: 0 for t in self.signs for k in range(len(t))}
+        number = {t: k for k, t in enumerate(self.signs, 1)}
+        for ts, flag in ((inner, 1), (final, 2)):
+            for t in ts:
+                self.tails[t] = 4 * number[t] | self.tails[t] & 3 | flag
+        self.told: dict[int, bool] = {}
         self.most = most
 
     def merged(self, signs: list[str]) -> list[str]:
@@ -37,34 +43,45 @@ class Prefixes:
             signs = [*signs[:at], signs[at] + signs[at + 1], *signs[at + 2 :]]
         return signs
 
-    def follows(self, before: str, token: str, ends: bool) -> bool:
-        """Whether the encoding of the two tokens' signs is the two tokens. ends: the second ends the word."""
-        key = (before, token, ends)
-        known = self.told.get(key)
-        if known is None:
-            if len(self.told) >= self.most:
-                self.told.clear()
-            signs = [*before, *token]
-            if ends:
-                signs[-1] += END
-            known = self.told[key] = self.merged(signs) == [before, token + END if ends else token]
-        return known
+    def follows(self, before: int, token: int, ends: bool) -> bool:
+        """Whether the encoding of two tokens' signs is the two tokens. ends: the second ends the word."""
+        first, second = self.signs[before - 1], self.signs[token - 1]
+        signs = [*first, *second]
+        if ends:
+            signs[-1] += END
+        if len(self.told) >= self.most:
+            self.told.clear()
+        return self.merged(signs) == [first, second + END if ends else second]
 
     def counts(self, shown: str) -> array:
         """For each i from 1, the tokens of the first i signs as a word of their own."""
-        count, last, out = [0], [""], array("i")
-        inner, final, tails, follows = self.inner, self.final, self.tails, self.follows
+        count, last, out = [0], [0], array("i")
+        tails, told = self.tails.get, self.told
         for i in range(1, len(shown) + 1):
-            here = end = 0
-            token = ""
-            for k in range(i - 1, -1, -1):
-                t = shown[k:i]
-                if t not in tails:
+            found, k = [], i - 1
+            while k >= 0 and (v := tails(shown[k:i])) is not None:
+                if v:
+                    found.append((k, v))
+                k -= 1
+            here = end = token = 0
+            for k, v in reversed(found):  # the longest is mostly the one
+                t = v >> 2
+                for flag in (1, 2):
+                    if not v & flag or (end if flag == 2 else here):
+                        continue
+                    if k:
+                        key = (last[k] << 18 | t) << 1 | (flag == 2)
+                        ok = told.get(key)
+                        if ok is None:
+                            ok = told[key] = self.follows(last[k], t, flag == 2)
+                        if not ok:
+                            continue
+                    if flag == 2:
+                        end = count[k] + 1
+                    else:
+                        here, token = count[k] + 1, t
+                if here and end:
                     break
-                if not here and t in inner and (not k or follows(last[k], t, False)):
-                    here, token = count[k] + 1, t
-                if not end and t in final and (not k or follows(last[k], t, True)):
-                    end = count[k] + 1
             count.append(here)
             last.append(token)
             out.append(end)

@@ -42,7 +42,7 @@ class Parts(dict):
     """word -> the counts of its prefixes by character, as bytes of int32; made when first asked for.
     It forgets all when it holds `most` words, so that a worker's memory stays bounded."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         super().__init__()
         self.made, self.most = Prefixes(path), most
 
