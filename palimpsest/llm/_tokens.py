@@ -63,6 +63,20 @@ class Words(dict):
         return ids
 
 
+class Sizes(dict):
+    """word -> the number of its ids, bounded like Words."""
+
+    def __init__(self, model, most: int = 800_000):
+        super().__init__()
+        self.model, self.most = model, most
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        n = self[word] = len(self.model.tokenize(as_bytes(word)))
+        return n
+
+
 class WordTokens:
     """Encoder for a vocabulary file of the tokenizers library: word by word if the file splits texts
     by the word pattern above, whole by the library if not."""
@@ -76,6 +90,7 @@ class WordTokens:
         self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
         self.width = int(self.kind[-1])
         self.words = Words(self.library.model, "HI"[self.width > 2])
+        self.sizes = Sizes(self.library.model)
 
     def pieces(self, text: str) -> list[str] | None:
         """The words to encode apart, or None if only the library may split this text."""
@@ -98,7 +113,10 @@ class WordTokens:
 
     def count(self, text: str) -> int:
         """The number of ids of the whole text."""
-        return len(self.raw(text)) // self.width
+        ws = self.pieces(text)
+        if ws is None:
+            return len(self.library.encode(text, add_special_tokens=False).ids)
+        return sum(map(self.sizes.__getitem__, ws))
 
     def ids(self, text: str) -> np.ndarray:
         return np.frombuffer(self.raw(text), self.kind)

@@ -77,7 +77,7 @@ def test_every_sign_alone_and_between_letters():
     for c in signs:
         for text in (c, f"a{c}b", f"it{c}s {c}{c} 'l{c}", f"Z{c}9{c}!"):
             want = LIBRARY.encode(text, add_special_tokens=False).ids
-            assert encoder.ids(text).tolist() == want and token_counts.PrefixCounts(text, encoder).total == len(want), repr(text)
+            assert encoder.ids(text).tolist() == want and encoder.count(text) == len(want) and token_counts.PrefixCounts(text, encoder).total == len(want), repr(text)
 
 
 def test_recurrence_of_prefixes_against_the_library():
