@@ -11,6 +11,7 @@ from bisect import bisect_right
 from dataclasses import dataclass, field
 from io import BytesIO
 
+from palimpsest.functions.encodings import decode_or_roman, detect
 from palimpsest.functions.forks import resources, roman
 
 MOST_CHUNK = 64 << 20
@@ -235,7 +236,8 @@ def hfs(source: Part) -> Volume:
     if head[0x7C:0x7E] == b"H+":
         first, n = struct.unpack_from(">HH", head, 0x7E)
         return hfs_plus(Part(source, start + first * block, n * block))
-    v = Volume(source, False, block, start, roman(head[0x25 : 0x25 + min(head[0x24], 27)]))
+    label = head[0x25 : 0x25 + min(head[0x24], 27)]
+    v = Volume(source, False, block, start)
 
     def fork(at: int) -> Fork:
         return Fork(struct.unpack_from(">I", head, at)[0], _pairs(head[at + 4 : at + 16], ">HH", 12))
@@ -244,13 +246,13 @@ def hfs(source: Part) -> Volume:
         if len(rec) >= 20 and rec[0] >= 7:
             key = (struct.unpack_from(">I", rec, 2)[0], rec[1] == 0xFF)
             v.overflow.setdefault(key, []).extend(_pairs(rec[8:20], ">HH", 12))
-    folders: dict[int, tuple[int, str]] = {}
-    found: list[tuple[int, str, VolumeFile]] = []
+    folders: dict[int, tuple[int, bytes]] = {}
+    found: list[tuple[int, bytes, VolumeFile]] = []
     for rec in leaves(v.fork(4, False, fork(0x92))):
         if len(rec) < 7 or rec[0] < 6 or 1 + rec[0] > len(rec) or 6 + rec[6] > rec[0]:
             continue
         (parent,) = struct.unpack_from(">I", rec, 2)
-        name = roman(rec[7 : 7 + rec[6]])
+        name = rec[7 : 7 + rec[6]]
         d = rec[(2 + rec[0]) & ~1 :]
         if d[:1] == b"\1" and len(d) >= 10:
             folders[struct.unpack_from(">I", d, 6)[0]] = (parent, name)
@@ -258,8 +260,11 @@ def hfs(source: Part) -> Volume:
             ident, n_data, n_rsrc = (struct.unpack_from(">I", d, k)[0] for k in (20, 26, 36))
             forks = Fork(n_data, _pairs(d[74:86], ">HH", 12)), Fork(n_rsrc, _pairs(d[86:98], ">HH", 12))
             found.append((parent, name, VolumeFile([], roman(d[4:8]), roman(d[8:12]), ident, *forks)))
+    # names don't tell their encoding: all of the volume together show it
+    encoding = detect([label, *(n for _, n in folders.values()), *(n for _, n, _ in found)])
+    v.name, folders = decode_or_roman(label, encoding), {k: (p, decode_or_roman(n, encoding)) for k, (p, n) in folders.items()}
     for parent, name, f in found:
-        f.path = [*_climb(parent, folders), name]
+        f.path = [*_climb(parent, folders), decode_or_roman(name, encoding)]
         v.files.append(f)
     return v
 

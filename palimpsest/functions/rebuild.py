@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from palimpsest.functions.records import Binding, Code, Graph, Handler, Instruction, Record, Text, Vector, body, instructions, records
+from palimpsest.functions.records import Binding, Code, Graph, Handler, Instruction, Record, Text, Vector, body, instructions, reading, records
 from palimpsest.functions.source import ALT, IMPLICIT, POSSESSIVE, THE, Dictionary, Index, Node, Printer
 
 HEADING = "-- From run-only bytecode: its comments and layout are lost.\n\n"
@@ -956,14 +956,16 @@ for _name, _letter in BINARY.items():
     setattr(Run, f"op_{_name}", _binary(_letter))
 
 
-def from_bytecode(b: bytes, dictionaries: dict[str, Dictionary] | None = None) -> str:
-    """The source of a compiled script, from its bytecode alone."""
-    values = Values(records(body(b)[1]))
-    root = values.value(0)
-    if not isinstance(root, Vector) or not root.items:
-        raise Unsupported("no script object")
-    t = Tree(values)
-    table = [None, [], root] if root.kind in (16, 17) else root.items[-1]
-    top = t.script(table, True)
-    t.x.wraps[0] = (15, (-1, t.node("k", t.chain(top))))
-    return Printer(t.x, dictionaries, rebuilt=True).whole()
+def from_bytecode(b: bytes, dictionaries: dict[str, Dictionary] | None = None, encoding: str | None = None) -> str:
+    """The source of a compiled script, from its bytecode alone. encoding: of old strings, instead of the one they show."""
+    rows = records(body(b)[1])
+    with reading(rows, encoding):
+        values = Values(rows)
+        root = values.value(0)
+        if not isinstance(root, Vector) or not root.items:
+            raise Unsupported("no script object")
+        t = Tree(values)
+        table = [None, [], root] if root.kind in (16, 17) else root.items[-1]
+        top = t.script(table, True)
+        t.x.wraps[0] = (15, (-1, t.node("k", t.chain(top))))
+        return Printer(t.x, dictionaries, rebuilt=True).whole()

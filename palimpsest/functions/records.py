@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import re
 import struct
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass, field
 from typing import Any
 
+from palimpsest.functions.encodings import ROMAN, decode_or_roman, detect
 from palimpsest.functions.forks import fasd_header, is_plain, roman, script_resource, unwrap
 
 END = b"\xfa\xde\xde\xad"
@@ -173,22 +176,74 @@ def real(x: float) -> str:
 MAX_DEPTH, MAX_CHAIN, MAX_HANDLERS = 256, 100_000, 10_000
 
 
-def names(data: bytes) -> list[str]:
-    """The spellings in an identifier's record: lengths of two bytes, then the characters."""
+#: The encoding of a script's old byte strings, while it is being read.
+_READING: ContextVar[str] = ContextVar("reading", default=ROMAN)
+_CHEVRONS = ("«class ", "«event ", "«constant ", "«data ")
+
+
+def old_text(b: bytes) -> str:
+    """A byte string of an old script, in the encoding that the script is read in."""
+    name = _READING.get()
+    return roman(b) if name == ROMAN else decode_or_roman(b, name)
+
+
+def old_strings(rows: list[Record]) -> list[bytes]:
+    """The byte strings that old systems stored in their own encoding: strings, and names that aren't UTF-8."""
+    out = []
+    for r in rows:
+        if r.typ == 0x0C and r.data:
+            n = int.from_bytes(r.data[:2], "big")
+            out.append(r.data[2 : 2 + n])
+        elif r.typ == 0x0B and r.data:
+            out += [x for x in spellings(r.data) if not is_utf8(x)]
+    return out
+
+
+def script_encoding(rows: list[Record]) -> str:
+    """The encoding of a script's old strings, which it doesn't tell. Codes in chevrons force Mac Roman:
+    read as Japanese, a chevron's byte pairs up with the next."""
+    texts = old_strings(rows)
+    if any(c in roman(t) for t in texts for c in _CHEVRONS):
+        return ROMAN
+    return detect(texts)
+
+
+@contextmanager
+def reading(rows: list[Record], encoding: str | None = None):
+    """Old strings are read in the encoding given, else in the one that they show."""
+    token = _READING.set(encoding or script_encoding(rows))
+    try:
+        yield
+    finally:
+        _READING.reset(token)
+
+
+def is_utf8(b: bytes) -> bool:
+    try:
+        b.decode("utf-8")
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def spellings(data: bytes) -> list[bytes]:
+    """The byte strings in an identifier's record: lengths of two bytes, then the characters."""
     out, at = [], 0
     while at + 2 <= len(data):
         (n,) = struct.unpack_from(">H", data, at)
         part = data[at + 2 : at + 2 + n]
         if not n or len(part) < n:
             break
-        try:
-            out.append(part.decode("utf-8"))
-        except UnicodeDecodeError:
-            out.append(roman(part))
+        out.append(part)
         at += 2 + n
     return out
 
 
+def names(data: bytes) -> list[str]:
+    """The spellings in an identifier's record."""
+    return [x.decode("utf-8") if is_utf8(x) else old_text(x) for x in spellings(data)]
+
+
 class Graph:
     """The objects of one script by reference, and their values."""
 
@@ -225,7 +280,8 @@ class Graph:
             if len(r.data) == 8:  # an enumeration and its constant
                 return Code(roman(r.data[4:]))
         if what == "string":
-            return Text(roman(r.data))
+            whole = len(r.data) >= 2 and 2 + int.from_bytes(r.data[:2], "big") <= len(r.data)
+            return Text(roman(r.data[:2]) + old_text(r.data[2:]) if whole else roman(r.data))
         if what == "raw":
             return r.data
         if what == "list":

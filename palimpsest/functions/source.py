@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
 from palimpsest.functions.forks import fasd_header, is_plain, jxa, roman
-from palimpsest.functions.records import EVENT_KIND, Damaged, Graph, Record, body, names, quoted, real, records, tolerant
+from palimpsest.functions.records import EVENT_KIND, Damaged, Graph, Record, body, names, old_text, quoted, reading, real, records, tolerant
 from palimpsest.functions.terms import CODES, EVENTS, PARAMETERS, PREPOSITIONS, RESERVED, SYMBOL_CONSTANTS, SYMBOL_EVENTS, SYMBOLS
 
 DEEPEST = 300
@@ -240,7 +240,7 @@ class Index:
     def _0c(self, r: Record) -> None:
         n = int.from_bytes(r.data[:2], "big")
         if len(r.data) >= 2 + n:
-            self.old_texts[r.ref] = roman(r.data[2 : 2 + n])
+            self.old_texts[r.ref] = old_text(r.data[2 : 2 + n])
 
     def _0d(self, r: Record) -> None:
         self.nodes[r.ref] = Node(chr(r.kind or 0), r.flags or 0, r.refs)
@@ -1072,8 +1072,8 @@ STATEMENTS: dict[str, Callable] = {
 }
 
 
-def decompile(b: bytes, dictionaries: dict[str, Dictionary] | None = None) -> str:
-    """The source of a script: compiled, JavaScript, or text already."""
+def decompile(b: bytes, dictionaries: dict[str, Dictionary] | None = None, encoding: str | None = None) -> str:
+    """The source of a script: compiled, JavaScript, or text already. encoding: of old strings, instead of the one they show."""
     if b.startswith(b"JsOsaDAS"):
         return jxa(b)
     if not fasd_header(b) and b and is_plain(b) and not b.startswith(b"#!"):
@@ -1087,9 +1087,12 @@ def decompile(b: bytes, dictionaries: dict[str, Dictionary] | None = None) -> st
     try:
         rows = records(rest)
     except Damaged:  # what can be told of the tree; its bytecode is lost
-        return Printer(Index(tolerant(rest)), dictionaries).whole()
+        rows = tolerant(rest)
+        with reading(rows, encoding):
+            return Printer(Index(rows), dictionaries).whole()
     if Graph(rows).run_only():
         from palimpsest.functions.rebuild import HEADING, from_bytecode
 
-        return HEADING + from_bytecode(b, dictionaries)
-    return Printer(Index(rows), dictionaries).whole()
+        return HEADING + from_bytecode(b, dictionaries, encoding)
+    with reading(rows, encoding):
+        return Printer(Index(rows), dictionaries).whole()

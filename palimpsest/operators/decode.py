@@ -72,8 +72,10 @@ def run_only(objs: DataFrame) -> DataFrame:
     return second.join(objs.where("typ = 1").select("file_id", "ref").distinct(), ["file_id", "ref"], "left_semi").select("file_id").distinct()
 
 
-def _handlers(d: bytes, r: bytes) -> list[records.Handler]:
-    return records.Graph(records.records(records.body(script_bytes(d, r))[1])).handlers()
+def _handlers(d: bytes, r: bytes, encoding: str | None = None) -> list[records.Handler]:
+    rows = records.records(records.body(script_bytes(d, r))[1])
+    with records.reading(rows, encoding):
+        return records.Graph(rows).handlers()
 
 
 def handlers(files: DataFrame) -> DataFrame:
@@ -153,10 +155,10 @@ def project_objects(files: DataFrame) -> DataFrame:
 EXTENSIONS = {("script", "decompile"): ".applescript", ("script", "bytecode"): ".applescript", ("stack", "decompile"): ".hypertalk", ("script", "disasm"): ".disasm.txt", ("stack", "text"): ".text.txt", ("project", "decompile"): ".supertalk", ("project", "text"): ".text.txt", ("text", "decompile"): ".applescript", ("jxa", "decompile"): ".js", ("script", "tree"): ".tree.txt"}
 
 
-def compiled_source(b: bytes, dictionaries: dict | None = None) -> str:
+def compiled_source(b: bytes, dictionaries: dict | None = None, encoding: str | None = None) -> str:
     """A compiled script inside another file as text, or a comment that says what was wrong."""
     try:
-        return source.decompile(b, dictionaries)
+        return source.decompile(b, dictionaries, encoding)
     except (ValueError, IndexError) as e:
         return f"-- (a compiled script that can't be read: {e})"
 
@@ -165,9 +167,9 @@ def output(kind: str, command: str, data: bytes, rsrc: bytes, dictionaries: dict
     """A file's output and error for a command; neither if the command isn't for its kind."""
     try:
         if kind == "stack" and command == "decompile":
-            return stacks.scripts_listing(stacks.parse(data, rsrc, encoding), lambda b: compiled_source(b, dictionaries)), None
+            return stacks.scripts_listing(stacks.parse(data, rsrc, encoding), lambda b: compiled_source(b, dictionaries, encoding)), None
         if kind == "script" and command == "decompile":
-            return source.decompile(script_bytes(data, rsrc), dictionaries), None
+            return source.decompile(script_bytes(data, rsrc), dictionaries, encoding), None
         if kind == "stack" and command == "text":
             return stacks.text_listing(stacks.parse(data, rsrc, encoding)), None
         if kind == "project" and command == "decompile":
@@ -175,13 +177,13 @@ def output(kind: str, command: str, data: bytes, rsrc: bytes, dictionaries: dict
         if kind == "project" and command == "text":
             return projects.text_listing(projects.parse(data, encoding)), None
         if kind == "script" and command == "disasm":
-            return records.disassembly(_handlers(data, rsrc)), None
+            return records.disassembly(_handlers(data, rsrc, encoding)), None
         if kind == "text" and command == "decompile":
             return data.decode("utf-8"), None
         if kind == "jxa" and command == "decompile":
             return forks.jxa(data), None
         if kind == "script" and command == "bytecode":
-            return rebuild.from_bytecode(script_bytes(data, rsrc), dictionaries), None
+            return rebuild.from_bytecode(script_bytes(data, rsrc), dictionaries, encoding), None
         if kind == "script" and command == "tree":
             return records.tree(records.records(records.body(script_bytes(data, rsrc))[1])), None
     except (ValueError, IndexError, RecursionError, struct.error) as e:
@@ -207,23 +209,87 @@ def results(files: DataFrame, command: str, dictionaries: dict | None = None, en
 
 def status(done: DataFrame) -> DataFrame:
     """0 if no file has an error, else 1."""
-    return done.agg(F.coalesce(F.max(F.col("error").isNotNull().cast("int")), F.lit(0)).alias("status"))
+    return shapes.statuses(done, None, F.col("error").isNotNull())
 
 
-def safe_name(rel):
-    """A file's name for its output: unsafe signs and trailing dots and spaces become underscores, a script's ending goes."""
-    name = F.regexp_replace(F.element_at(F.split(rel, "/"), -1), r"\.(scpt|scptd|app)$", "")
-    name = F.regexp_replace(name, r'[\x00-\x1F\x7F/\\:*?"<>|]', "_")
+def outcomes(done: DataFrame) -> DataFrame:
+    """outcome, n: how many results failed, were skipped, are plain text, or passed. done: of results, with kind."""
+    return shapes.outcomes(done.withColumn("plain", F.col("kind") == "text") if "kind" in done.columns else done.withColumn("plain", F.lit(False)))
+
+
+def differences(before: DataFrame, after: DataFrame) -> DataFrame:
+    """rel, cmd, diff: a unified diff of each output that changed between two runs of results, or is in one
+    alone. Outputs meet by name; the lines of a file are compared in order, within its row."""
+    from difflib import unified_diff
+
+    def compare(pdf_batches):
+        for pdf in pdf_batches:
+            made = ["\n".join(unified_diff((a or "").splitlines(), (b or "").splitlines(), "before", "after", lineterm="")) for a, b in zip(pdf["a"], pdf["b"])]
+            yield pdf[["rel", "cmd"]].assign(diff=made)
+
+    side = lambda df, n: df.where("out is not null").select("rel", "cmd", F.col("out").alias(n))
+    both = side(before, "a").join(side(after, "b"), ["rel", "cmd"], "full").where("not a <=> b")
+    return both.mapInPandas(compare, "rel string, cmd string, diff string")
+
+
+def cards_told(files: DataFrame) -> DataFrame:
+    """n_cards, the number of cards that each stack's header tells."""
+
+    def rows(d, r):
+        told = stacks.parse(d, r).told_cards
+        if told is not None:
+            yield (told,)
+
+    return _flat(files.where("kind = 'stack'"), rows, "n_cards int")
+
+
+def cards_missing(files: DataFrame) -> DataFrame:
+    """file_id, told, found: stacks whose header tells another number of cards than are found."""
+    return shapes.disagreeing(cards_told(files), layers(files).where("kind = 'card'"), "file_id", "n_cards")
+
+
+def _safe(part):
+    """Unsafe signs and trailing dots and spaces become underscores."""
+    name = F.regexp_replace(part, r'[\x00-\x1F\x7F/\\:*?"<>|]', "_")
     tail = F.regexp_extract(name, r"[. ]*$", 0)
     name = F.concat(F.regexp_replace(name, r"[. ]+$", ""), F.repeat(F.lit("_"), F.length(tail)))
     return F.when(name == "", "_").otherwise(name)
 
 
+def safe_name(rel):
+    """A file's path for its output: every part made safe, a script's ending taken off the last."""
+    plain = F.regexp_replace(rel, r"\.(scpt|scptd|app)$", "")
+    return F.array_join(F.transform(F.split(plain, "/"), _safe), "/")
+
+
 def write_results(done: DataFrame, folder: str) -> None:
-    """Outputs as Parquet under their names; of equal names the last in the walk's order stays."""
+    """Outputs as Parquet under their paths, which keep the input's folders; of equal paths the last in
+    the walk's order stays."""
     named = done.where("out is not null").withColumn("file", F.concat(safe_name(F.col("rel")), "ext"))
     named.groupBy("cmd", "file").agg(F.max_by("out", "rel").alias("out")).write.mode("overwrite").partitionBy("cmd").parquet(folder)
 
 
+def write_files(done: DataFrame, folder: str) -> DataFrame:
+    """The same as files below a folder that all executors see: each output at its own path. Returns
+    cmd, file, bytes written. A task that is run again writes the same files again."""
+    named = done.where("out is not null").withColumn("file", F.concat(safe_name(F.col("rel")), "ext"))
+    last = named.groupBy("cmd", "file").agg(F.max_by("out", "rel").alias("out"))
+
+    def put(batches):
+        import os
+
+        for pdf in batches:
+            sizes = []
+            for file, out in zip(pdf["file"], pdf["out"]):
+                path = os.path.join(folder, *(x if x not in (".", "..") else "_" for x in file.split("/")))
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                with open(f"{path}.part", "wb") as f:
+                    sizes.append(f.write(out.encode("utf-8", "surrogatepass")))
+                os.replace(f"{path}.part", path)
+            yield pdf[["cmd", "file"]].assign(bytes=sizes)
+
+    return last.mapInPandas(put, "cmd string, file string, bytes long")
+
+
 def deduped(files: DataFrame) -> DataFrame:
     return shapes.dedupe(files.where("error is null"), "data", "rel")

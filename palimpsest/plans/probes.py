@@ -84,27 +84,25 @@ def stale_run_filter(t):
     return S.drop_stale_runs(t("events").select("user_id", "event_id", "value"), "user_id", "event_id", "value")
 
 
-def _brands(part, rank: int, modulo: int) -> DataFrame:
-    return part.where(F.col("p_partkey") % modulo == 0).select(F.substring("p_type", 1, 4).alias("code"), "p_partkey", F.col("p_name").alias("name"), F.struct(F.lit(rank), "p_partkey").alias("rank"))
-
-
 @probe("""WITH terms AS (
-  SELECT substr(p_type, 1, 4) AS code, p_name AS name, 0 AS r, p_partkey FROM part WHERE p_partkey % 50 = 0
-  UNION ALL SELECT substr(p_type, 1, 4), p_name, 1, p_partkey FROM part WHERE p_partkey % 20 = 0),
+  SELECT substr(p_type, 1, 4) AS code, p_name AS name, 0 AS r, p_partkey FROM part WHERE p_retailprice > 1500
+  UNION ALL SELECT p_brand, p_type, 1, p_partkey FROM part WHERE p_size > 40),
 best AS (SELECT code, name FROM terms QUALIFY row_number() OVER (PARTITION BY code ORDER BY r, p_partkey) = 1)
 SELECT p_partkey, c.code, coalesce(b.name, '«class ' || c.code || '»') AS name
-FROM (SELECT p_partkey, CASE WHEN p_size > 25 THEN substr(p_type, 1, 4) ELSE p_brand END AS code FROM part) c LEFT JOIN best b ON c.code = b.code""")
+FROM (SELECT p_partkey, CASE WHEN p_size > 25 THEN substr(p_type, 1, 4) WHEN p_size > 5 THEN p_brand ELSE p_name END AS code FROM part) c LEFT JOIN best b ON c.code = b.code""")
 def term_precedence(t):
-    p = t("part")
-    terms = _brands(p, 0, 50).unionByName(_brands(p, 1, 20))
-    codes = p.select("p_partkey", F.when(F.col("p_size") > 25, F.substring("p_type", 1, 4)).otherwise(F.col("p_brand")).alias("code"))
-    return S.resolve_terms(codes, terms)
+    p, head = t("part"), F.substring("p_type", 1, 4)
+    rank = lambda n: F.struct(F.lit(n), "p_partkey").alias("rank")
+    own = p.where("p_retailprice > 1500").select(head.alias("code"), F.col("p_name").alias("name"), rank(0))
+    more = p.where("p_size > 40").select(F.col("p_brand").alias("code"), F.col("p_type").alias("name"), rank(1))
+    codes = p.select("p_partkey", F.when(F.col("p_size") > 25, head).when(F.col("p_size") > 5, F.col("p_brand")).otherwise(F.col("p_name")).alias("code"))
+    return S.resolve_terms(codes, own.unionByName(more))
 
 
-@probe("""WITH cur AS (SELECT c_custkey AS code, c_name AS name FROM customer WHERE c_custkey % 3 = 0), old AS (SELECT o_custkey AS code, 'order ' || min(o_orderkey) AS name FROM orders GROUP BY o_custkey)
+@probe("""WITH cur AS (SELECT c_custkey AS code, c_name AS name FROM customer WHERE c_acctbal < 3000), old AS (SELECT o_custkey AS code, 'order ' || min(o_orderkey) AS name FROM orders GROUP BY o_custkey)
 SELECT * FROM cur UNION ALL SELECT * FROM old WHERE code NOT IN (SELECT code FROM cur)""")
 def dictionary_overlay(t):
-    current = t("customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("code"), F.col("c_name").alias("name"))
+    current = t("customer").where("c_acctbal < 3000").select(F.col("c_custkey").alias("code"), F.col("c_name").alias("name"))
     classic = t("orders").groupBy(F.col("o_custkey").alias("code")).agg(F.concat(F.lit("order "), F.min("o_orderkey").cast("string")).alias("name"))
     return S.overlay(current, classic, ["code"])
 
@@ -116,7 +114,7 @@ def label_disambiguation(t):
 
 @probe("SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 45)")
 def unlisted(t):
-    return t("part").select("p_partkey").join(t("lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti")
+    return S.lacking(t("part").select("p_partkey"), t("lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey")), "p_partkey")
 
 
 @probe("SELECT c.conv_id, c.turn FROM conversations c WHERE role = 'user' AND NOT EXISTS (SELECT 1 FROM conversations d WHERE d.conv_id = c.conv_id AND d.role <> 'user' AND length(d.text) > length(c.text))")
@@ -140,8 +138,8 @@ def structure_statistics(t):
 
 @probe("SELECT CASE WHEN quality = 0 THEN 'fail' WHEN toxic = 1 THEN 'skip' WHEN quality = 1 THEN 'pass' ELSE 'plaintext' END AS outcome, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
 def outcome_counts(t):
-    outcome = F.when(F.col("quality") == 0, "fail").when(F.col("toxic") == 1, "skip").when(F.col("quality") == 1, "pass").otherwise("plaintext")
-    return t("documents").select("doc_id").join(t("labels"), "doc_id", "left").groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
+    both = t("documents").select("doc_id").join(t("labels"), "doc_id", "left")
+    return S.outcomes(both.select(F.when(F.col("quality") == 0, "bad").alias("error"), F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("skipped"), F.col("quality").isNull().alias("plain")))
 
 
 @probe("SELECT lower(w) AS folded, arg_min(w, doc_id) AS spelling, count(*) AS uses FROM (SELECT doc_id, regexp_extract(text, '^[A-Za-z]+') AS w FROM documents) GROUP BY 1")
@@ -149,10 +147,17 @@ def first_spelling(t):
     return S.first_spelling(t("documents").select("doc_id", F.regexp_extract("text", "^[A-Za-z]+", 0).alias("w")), "w", "doc_id")
 
 
-@probe("(SELECT l_partkey, l_suppkey FROM lineitem WHERE l_quantity < 30 EXCEPT ALL SELECT l_partkey, l_suppkey FROM lineitem WHERE l_quantity > 20)")
+@probe("""WITH a AS (SELECT l_partkey, l_suppkey FROM lineitem WHERE l_quantity < 30), b AS (SELECT l_partkey, l_suppkey FROM lineitem WHERE l_quantity > 20)
+SELECT *, '-' AS change FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, '+' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""")
 def line_diff(t):
     rows = t("lineitem")
-    return rows.where("l_quantity < 30").select("l_partkey", "l_suppkey").exceptAll(rows.where("l_quantity > 20").select("l_partkey", "l_suppkey"))
+    return S.changed_lines(rows.where("l_quantity < 30").select("l_partkey", "l_suppkey"), rows.where("l_quantity > 20").select("l_partkey", "l_suppkey"))
+
+
+@probe("""SELECT o_orderkey, told, found FROM (SELECT o_orderkey, length(o_orderpriority)::BIGINT AS told, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS found FROM orders) WHERE told <> found""")
+def counts_disagree(t):
+    told = t("orders").select("o_orderkey", F.length("o_orderpriority").alias("n"))
+    return S.disagreeing(told, t("lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "n")
 
 
 @probe("SELECT doc_id, n_chars FROM documents WHERE n_chars <= 2000")
@@ -166,9 +171,9 @@ def kind_dispatch(t):
     return t("pages").groupBy(F.when(h.contains('lang="en"'), "stack").when(h.contains('lang="de"'), "project").when(h.startswith("<!DOCTYPE"), "script").otherwise("other").alias("kind")).agg(F.count("*").alias("n"))
 
 
-@probe("SELECT source, max(CASE WHEN n_chars > 60000 THEN 2 WHEN n_chars < 60 THEN 1 ELSE 0 END)::INT AS status FROM documents GROUP BY source")
+@probe("SELECT source, max(CASE WHEN n_chars < 10 THEN 1 ELSE 0 END)::INT AS status FROM documents GROUP BY source")
 def status_rollup(t):
-    return t("documents").groupBy("source").agg(F.max(F.when(F.col("n_chars") > 60000, 2).when(F.col("n_chars") < 60, 1).otherwise(0)).alias("status"))
+    return S.statuses(t("documents"), "source", F.col("n_chars") < 10)
 
 
 @probe("SELECT o_orderkey, o_orderkey || CASE WHEN o_orderkey % 100 BETWEEN 11 AND 13 THEN 'th' WHEN o_orderkey % 10 = 1 THEN 'st' WHEN o_orderkey % 10 = 2 THEN 'nd' WHEN o_orderkey % 10 = 3 THEN 'rd' ELSE 'th' END AS label FROM orders")

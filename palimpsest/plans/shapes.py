@@ -10,19 +10,54 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def content_hash(data: Column) -> Column:
-    """The first 12 hexadecimal digits of the SHA-1 of a binary or string."""
+    """The first 12 hexadecimal digits of the SHA-1 of a binary or string: to show, not to compare by."""
     return F.substring(F.sha1(data.cast("binary")), 1, 12)
 
 
 def dedupe(files: DataFrame, data: str, order: str) -> DataFrame:
-    """hash, copies, and the first of `order` for each content; combines before its one shuffle."""
-    return files.groupBy(content_hash(F.col(data)).alias("hash")).agg(F.count("*").alias("copies"), F.min(order).alias("first"))
+    """hash, copies, and the first of `order` for each content; combines before its one shuffle.
+    Contents are told apart by the whole SHA-1, of which the hash shows the first 12 digits."""
+    told = files.groupBy(F.sha1(F.col(data).cast("binary")).alias("sha")).agg(F.count("*").alias("copies"), F.min(order).alias("first"))
+    return told.select(F.substring("sha", 1, 12).alias("hash"), "copies", "first")
 
 
 def is_ascii(text: Column) -> Column:
     return ~text.rlike(r"[^\x00-\x7F]")
 
 
+def outcomes(results: DataFrame) -> DataFrame:
+    """outcome, n: how many results failed (error), were skipped, are plain text or passed."""
+    outcome = F.when(F.col("error").isNotNull(), "fail").when(F.col("skipped"), "skip").when(F.col("plain"), "plaintext").otherwise("pass")
+    return results.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
+
+
+def changed_lines(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The columns of both and change: the rows of `before` that `after` lacks (-) and the other way round
+    (+), as often as they are lacking; counts combine before the one shuffle."""
+    names = before.columns
+    both = before.withColumn("_n", F.lit(-1)).unionByName(after.withColumn("_n", F.lit(1))).groupBy(*names).agg(F.sum("_n").alias("_n"))
+    rows = both.where("_n != 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.abs("_n").cast("int"))))
+    return rows.select(*names, F.when(F.col("_n") < 0, "-").otherwise("+").alias("change"))
+
+
+def disagreeing(told: DataFrame, found: DataFrame, on: str, n: str) -> DataFrame:
+    """on, told, found: where the number that a file tells is not that of the rows found in it."""
+    counted = found.groupBy(F.col(on).alias("_on")).agg(F.count("*").alias("found"))
+    both = told.select(on, F.col(n).cast("long").alias("told")).join(counted, F.col(on) == F.col("_on"), "left").drop("_on")
+    return both.withColumn("found", F.coalesce("found", F.lit(0))).where("told != found")
+
+
+def statuses(rows: DataFrame, group: str | None, failed: Column) -> DataFrame:
+    """status: 1 where any row of a group (or of all rows) failed, else 0."""
+    by = rows.groupBy(group) if group else rows.groupBy()
+    return by.agg(F.coalesce(F.max(failed.cast("int")), F.lit(0)).alias("status"))
+
+
+def lacking(rows: DataFrame, listed: DataFrame, on: str) -> DataFrame:
+    """The rows that no list names."""
+    return rows.join(listed.select(on).distinct(), on, "left_anti")
+
+
 def normalize_listing(text: Column) -> Column:
     """Lines without trailing blanks, and no blank lines."""
     lines = F.transform(F.split(text, "\n"), lambda x: F.rtrim(x, F.lit(" \t\r")))
@@ -50,26 +85,52 @@ def chain(rows: DataFrame, group: str, key: str, following: str) -> DataFrame:
 
 def asof(probes: DataFrame, at: str, points: DataFrame, start: str, values: list[str], by: str | None = None) -> DataFrame:
     """Each probe with the values of the last point whose start is not after it; null before the
-    first. Points and probes are merged by time, so no pair but the answer is ever formed. Without
-    `by` the merge is split into ranges by time, each of which knows the last point before it."""
+    first, and for a null time; points without a start are none. Points and probes are merged by time, so no pair but the answer is ever
+    formed. Without `by` the merge is split into ranges of time at quantiles that are taken once, so that
+    a time's range is a function of the time alone; each range knows the last point before it."""
     point = F.struct(F.col(start).alias("start_of_point"), *values)
     u = probes.select(F.struct(*probes.columns).alias("probe"), F.lit(None).cast(points.select(point.alias("p")).schema["p"].dataType).alias("point"), F.col(at).alias("at"), *([F.col(by).alias("by")] if by else []))
+    points = points.where(F.col(start).isNotNull())
     p = points.select(F.lit(None).cast(u.schema["probe"].dataType).alias("probe"), point.alias("point"), F.col(start).alias("at"), *([F.col(by).alias("by")] if by else []))
     both = u.unionByName(p)
     if by:
         w = Window.partitionBy("by").orderBy("at", F.col("probe").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
         found = both.withColumn("hit", F.last("point", True).over(w))
     else:
-        n = max(1, int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        ranged = both.repartitionByRange(n, "at").withColumn("part", F.spark_partition_id())
+        ranges = _ranges(both)
         w = Window.partitionBy("part").orderBy("at", F.col("probe").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-        inner = ranged.withColumn("hit", F.last("point", True).over(w))
-        # the last point of each range, at most one row per partition; a window over them carries it on
-        last = ranged.groupBy("part").agg(F.max("point").alias("own"))
-        carried = last.select("part", F.last("own", True).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
-        found = inner.join(F.broadcast(carried), "part").withColumn("hit", F.coalesce("hit", "before"))
-    out = found.where("probe is not null").select("probe.*", *(F.col(f"hit.{v}").alias(v) for v in values))
-    return out
+        inner = ranges(both).withColumn("hit", F.last("point", True).over(w))
+        # the last point of each range, at most one row per range; a window over them carries it on
+        last = ranges(p).groupBy("part").agg(F.max("point").alias("own"))
+        carried = last.unionByName(both.sparkSession.range(ranges.n).select(F.col("id").cast("double").alias("part"), F.lit(None).cast(last.schema["own"].dataType).alias("own")))
+        carried = carried.groupBy("part").agg(F.max("own").alias("own"))
+        carried = carried.select("part", F.last("own", True).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+        found = inner.join(F.broadcast(carried), "part", "left").withColumn("hit", F.coalesce("hit", "before"))
+    found = found.withColumn("hit", F.when(F.col("at").isNotNull(), F.col("hit")))
+    return found.where("probe is not null").select("probe.*", *(F.col(f"hit.{v}").alias(v) for v in values))
+
+
+class _ranges:
+    """Adds part, the number of the range of `at` that a row falls into, by one search in fixed bounds."""
+
+    def __init__(self, rows: DataFrame):
+        want = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        shares = F.array(*(F.lit(k / want) for k in range(1, want)))
+        cuts = rows.agg(F.percentile_approx(self.key(rows), shares, 10_000).alias("b")).first()["b"] if want > 1 else []
+        self.bounds = [float("-inf"), *sorted(set(cuts or [])), float("inf")]
+        self.n = len(self.bounds)
+
+    @staticmethod
+    def key(rows: DataFrame) -> Column:
+        """A number in the order of `at`."""
+        kind = dict(rows.dtypes)["at"]
+        return F.col("at").cast("timestamp").cast("double") if kind.startswith(("timestamp", "date")) else F.col("at").cast("double")
+
+    def __call__(self, rows: DataFrame) -> DataFrame:
+        from pyspark.ml.feature import Bucketizer
+
+        keyed = rows.withColumn("key", F.coalesce(self.key(rows), F.lit(float("-inf"))))
+        return Bucketizer(splits=self.bounds, inputCol="key", outputCol="part").transform(keyed).drop("key")
 
 
 def chunk_ends(rows: DataFrame, group: str, order: str, start: str) -> DataFrame:

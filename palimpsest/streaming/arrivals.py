@@ -11,7 +11,6 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from palimpsest.plans.shapes import content_hash
 from palimpsest.sources import folders
 
 
@@ -35,5 +34,5 @@ def read(paths: DataFrame) -> DataFrame:
 
 def first_seen(files: DataFrame, within: str = "1 day") -> DataFrame:
     """Files whose data and resource fork did not arrive before, as far back as `within`."""
-    both = F.concat(content_hash(F.col("data")), content_hash(F.col("rsrc")))
+    both = F.concat(*(F.coalesce(F.sha1(c), F.lit("")) for c in ("data", "rsrc")), F.lit(" "))
     return files.withColumn("hash", both).withWatermark("arrived", within).dropDuplicatesWithinWatermark(["hash"])

@@ -27,7 +27,7 @@ def test_run(spark, tmp_path):
     assert code == 0 and out.startswith("-- card field id 3 of card id 12\nown\n") and not err
     assert call("text", str(tmp_path / "old/note.txt"))[0] == 1 and call("text", str(tmp_path / "gone"))[0] == 1 and call("x")[0] == 2
     assert call("decompile", str(tmp_path / "old"), "-o", str(tmp_path / "out"))[1] == ""
-    assert {r.file for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"note.txt.applescript", "s.hypertalk"}
+    assert {r.file for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"old/note.txt.applescript", "old/s.hypertalk"}
     assert "japanese" in call("encodings")[1]
 
 

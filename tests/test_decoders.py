@@ -158,7 +158,7 @@ def test_folders_and_tables(spark, tmp_path):
     done = decode.results(table, "disasm").persist()
     assert decode.status(done).first()[0] == 1 and done.where("error is not null").first().rel == "old/bad.scpt" and done.where("out like 'handler Add%'").count() == 4
     decode.write_results(done, str(tmp_path / "out"))
-    assert {r.file for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"a.disasm.txt", "Two.disasm.txt", "z.hqx.disasm.txt", "flat.disasm.txt"}
+    assert {r.file for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"old/a.disasm.txt", "old/sub/Two.disasm.txt", "old/z.hqx.disasm.txt", "old/disk/Disk/Sub/flat.disasm.txt"}
     listed = {r.rel: r.out for r in decode.results(table, "text").where("out is not null").collect()}
     assert set(listed) == {"old/sub/deep/s", "old/disk/Disk/inner/Disk/core"} and listed["old/sub/deep/s"] == TEXTS
     assert decode.deduped(table).count() < table.count()

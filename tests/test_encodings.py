@@ -1,4 +1,5 @@
 import plistlib
+import struct
 
 import pytest
 
@@ -45,3 +46,30 @@ def test_jxa():
 
 def test_tree():
     assert records.tree(records.records(records.body(B.compiled())[1])) == "#20 'k' flags=0x1 pos=2-3 [21 -1]\n  #21 'o' flags=0x0 pos=0-0 []\n  -1\n"
+
+
+KANA = "これはひらがなのながいぶんしょうです".encode("shift_jis")
+
+
+def test_scripts_old_strings_show_their_encoding():
+    string = lambda ref, b: B.raw(0x0C, ref, struct.pack(">H", len(b)) + b + bytes(len(b) % 2))
+    made = lambda *bs: records.records(b"".join(string(k + 5, b) for k, b in enumerate(bs)))
+    assert records.old_strings(made(KANA, b"x")) == [KANA, b"x"]
+    assert records.script_encoding(made(KANA)) == "Mac Japanese" and records.script_encoding(made("café".encode("mac_roman"))) == E.ROMAN
+    assert records.script_encoding(made(KANA, "«class cfol»".encode("mac_roman"))) == E.ROMAN
+    rows = made(KANA)
+    with records.reading(rows):
+        assert records.old_text(KANA) == KANA.decode("shift_jis")
+    with records.reading(rows, E.ROMAN):
+        assert records.old_text(KANA) == KANA.decode("mac_roman")
+    assert records.old_text(KANA) == KANA.decode("mac_roman")
+
+
+def test_volumes_names_show_their_encoding():
+    from palimpsest.functions import images
+
+    listed = lambda volume: {f.path[-1] for v in images.volumes(images.Part.of(volume)) for f in v.files}
+    names = [f"ひらがなのなまえ{k}" for k in range(4)]
+    old = lambda x: x.encode("shift_jis").decode("mac_roman")
+    assert listed(B.disk(False, [(old(x), b"data", b"") for x in names])) == set(names)
+    assert listed(B.disk(False, [("café ⌘".replace("⌘", "†"), b"x", b"")])) == {"café †"}
