@@ -48,18 +48,28 @@ def as_bytes(word: str) -> str:
 
 
 class Words(dict):
-    """word -> its ids as bytes of little-endian numbers, encoded when first asked for. It
-    forgets all when it holds `most` words, so that a worker's memory stays bounded."""
+    """word (what stands between white space, of one or more pieces) -> its ids as bytes of little-endian
+    numbers, encoded when first asked for. It forgets all when it holds `most` words, and pieces by
+    themselves when it knows as many, so that a worker's memory stays bounded."""
 
     def __init__(self, model, kind: str, most: int = 400_000):
         super().__init__()
         self.model, self.kind, self.most = model, kind, most
+        self.known: dict[str, bytes] = {}
+
+    def piece(self, piece: str) -> bytes:
+        ids = self.known.get(piece)
+        if ids is None:
+            if len(self.known) >= self.most:
+                self.known.clear()
+            ids = self.known[piece] = array(self.kind, [t.id for t in self.model.tokenize(as_bytes(piece))]).tobytes()
+        return ids
 
     def __missing__(self, word: str) -> bytes:
-        shown = as_bytes(word)
         if len(self) >= self.most:
             self.clear()
-        ids = self[word] = array(self.kind, [t.id for t in self.model.tokenize(shown)]).tobytes()
+        pieces = _PIECE.findall(word)
+        ids = self[word] = self.piece(word) if len(pieces) == 1 else b"".join(map(self.piece, pieces))
         return ids
 
 
@@ -73,7 +83,7 @@ class Sizes(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= self.most:
             self.clear()
-        n = self[word] = len(self.model.tokenize(as_bytes(word)))
+        n = self[word] = sum(len(self.model.tokenize(as_bytes(piece))) for piece in _PIECE.findall(word))
         return n
 
 
@@ -93,7 +103,7 @@ class WordTokens:
         self.sizes = Sizes(self.library.model)
 
     def pieces(self, text: str) -> list[str] | None:
-        """The words to encode apart, or None if only the library may split this text."""
+        """What stands between white space, to be encoded apart, or None if only the library may split this text."""
         if not self.apart or "<|" in text:
             return None
         try:
@@ -102,7 +112,7 @@ class WordTokens:
             slow = _QUICK.search(text)
         if slow:
             return None
-        return _PIECE.findall(text.lower())
+        return text.lower().split()
 
     def raw(self, text: str) -> bytes:
         """The ids of the whole text as little-endian numbers of `width` bytes."""

@@ -39,34 +39,44 @@ _CONTRACTIONS = frozenset("'s 't 're 've 'm 'll 'd".split())
 
 
 class Parts(dict):
-    """word -> the counts of its prefixes by character, as bytes of int32; made when first asked for.
-    It forgets all when it holds `most` words, so that a worker's memory stays bounded."""
+    """word -> the counts of its prefixes by character, as bytes of int32; made when first asked for. A
+    word is what stands between white space, of one or more pieces, or with `whole` one piece of a text of
+    any signs. It forgets all when it holds `most` words, so that a worker's memory stays bounded."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, made: Prefixes, whole: bool, most: int):
         super().__init__()
-        self.made, self.most = Prefixes(path), most
+        self.made, self.whole, self.most = made, whole, most
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.most:
             self.clear()
-        if word in _CONTRACTIONS and len(word) > 2:  # short of its end it is a mark and a letter
-            counts = [self.made.counts("'")[0], self.made.counts("'")[0] + self.made.counts(word[1])[0], self.made.counts(word)[-1]]
-        else:
-            counts = self.made.counts(as_bytes(word))
-            if not word.isascii():  # at the ends of characters
-                counts = [counts[k - 1] for k in np.cumsum([len(c.encode()) for c in word])]
-        self[word] = out = np.array(counts, np.int32).tobytes()
+        pieces = [word] if self.whole else _PIECE.findall(word)
+        made, before = [], 0
+        for piece in pieces:
+            made += [before + n for n in self._piece(piece)]
+            before = made[-1]
+        self[word] = out = np.array(made, np.int32).tobytes()
         return out
 
+    def _piece(self, word: str) -> list[int]:
+        if word in _CONTRACTIONS and len(word) > 2:  # short of its end it is a mark and a letter
+            first = self.made.counts("'")[0]
+            return [first, first + self.made.counts(word[1])[0], self.made.counts(word)[-1]]
+        counts = self.made.counts(as_bytes(word))
+        if word.isascii():
+            return list(counts)
+        return [counts[k - 1] for k in np.cumsum([len(c.encode()) for c in word])]  # at the ends of characters
+
 
-_parts: dict[str, Parts] = {}
+_parts: dict[str, tuple[Parts, Parts]] = {}
 
 
-def parts(path: str) -> Parts:
-    """One table for each worker and file."""
+def parts(path: str, whole: bool = False) -> Parts:
+    """One table for each worker, file and kind of word."""
     if path not in _parts:
-        _parts[path] = Parts(path)
-    return _parts[path]
+        made = Prefixes(path)
+        _parts[path] = Parts(made, False, 1_000_000), Parts(made, True, 100_000)
+    return _parts[path][whole]
 
 
 class PrefixCounts:
@@ -92,7 +102,7 @@ class PrefixCounts:
 
     def _fill(self) -> None:
         """Counts by the signs that are not white, of which each belongs to one word."""
-        get = parts(self.encoder.path).__getitem__
+        get = parts(self.encoder.path, self.spread is not None).__getitem__
         sizes = np.fromiter(map(len, self.words), np.int64, len(self.words))
         part = np.frombuffer(b"".join(map(get, self.words)), np.int32)
         ends = np.cumsum(sizes)
