@@ -85,13 +85,19 @@ def release() -> None:
         pass
 
 
-def frugal(f):
-    """A function for mapInArrow that leaves its worker small."""
+def frugal(f, cycles: bool = True):
+    """A function for mapInArrow that leaves its worker small. cycles: whether it makes objects that only
+    the collector of cycles can free; if not, large tables of words are not searched for them."""
 
     def run(batches):
+        import gc
+
+        if not cycles:
+            gc.disable()
         try:
             yield from f(batches)
         finally:
+            gc.enable()
             release()
 
     return run

@@ -50,17 +50,17 @@ def as_bytes(word: str) -> str:
 class Words(dict):
     """word (what stands between white space, of one or more pieces) -> its ids as bytes of little-endian
     numbers, encoded when first asked for. It forgets all when it holds `most` words, and pieces by
-    themselves when it knows as many, so that a worker's memory stays bounded."""
+    themselves when it knows `pieces` of them, so that a worker's memory stays bounded."""
 
-    def __init__(self, model, kind: str, most: int = 400_000):
+    def __init__(self, model, kind: str, most: int = 700_000, pieces: int = 300_000):
         super().__init__()
-        self.model, self.kind, self.most = model, kind, most
+        self.model, self.kind, self.most, self.pieces = model, kind, most, pieces
         self.known: dict[str, bytes] = {}
 
     def piece(self, piece: str) -> bytes:
         ids = self.known.get(piece)
         if ids is None:
-            if len(self.known) >= self.most:
+            if len(self.known) >= self.pieces:
                 self.known.clear()
             ids = self.known[piece] = array(self.kind, [t.id for t in self.model.tokenize(as_bytes(piece))]).tobytes()
         return ids

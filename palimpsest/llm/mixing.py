@@ -70,7 +70,7 @@ def posteriors(rows: DataFrame, text: str, models: tuple[np.ndarray, np.ndarray]
             yield pa.RecordBatch.from_arrays([*(b.column(rows_at) for rows_at in places), pa.array(n), lists], [*kept, n_tokens, p])
 
     places = [rows.columns.index(c) for c in kept]
-    return rows.mapInArrow(frugal(go), rows.select(*kept).schema.add(n_tokens, "long").add(p, ArrayType(DoubleType())))
+    return rows.mapInArrow(frugal(go, cycles=False), rows.select(*kept).schema.add(n_tokens, "long").add(p, ArrayType(DoubleType())))
 
 
 def rate(p: Column, averages: np.ndarray, pull: float) -> Column:

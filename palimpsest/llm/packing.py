@@ -44,7 +44,7 @@ def encode(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str)
             ids = pa.array([encoder.raw(x.as_py() or "") + last for x in b.column(1)], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), ids], [id_col, "ids"])
 
-    return docs.select(id_col, text_col).mapInArrow(frugal(go), f"`{id_col}` {dict(docs.dtypes)[id_col]}, ids binary")
+    return docs.select(id_col, text_col).mapInArrow(frugal(go, cycles=False), f"`{id_col}` {dict(docs.dtypes)[id_col]}, ids binary")
 
 
 class Shard:
@@ -62,6 +62,12 @@ class Shard:
         self.weight = (idf[term] * tf * (K1 + 1) / (tf + norm[self.doc])).astype(np.float32)
         self.start = np.searchsorted(term, np.arange(len(idf) + 1))
 
+    def drop_used(self, unused: np.ndarray) -> None:
+        """Leaves used documents out of the index; what it answers stays the same."""
+        keep = unused[self.doc]
+        self.start = np.append(0, np.cumsum(keep))[self.start]
+        self.doc, self.weight = self.doc[keep], self.weight[keep]
+
     def neighbours(self, seed: np.ndarray, unused: np.ndarray) -> np.ndarray:
         """Unused documents that share an id with the seed, best first."""
         terms = np.flatnonzero(np.bincount(seed, minlength=1))
@@ -78,6 +84,7 @@ def pack(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int) -> I
     powers of two for lengths, fill the window."""
     shard = Shard(docs, idf, mean)
     unused = np.ones(shard.n, bool)
+    indexed = shard.n
     pending: tuple[int, int] | None = None
     left, turn = int(sum(len(d) for d in docs)), 0
     while left:
@@ -97,7 +104,10 @@ def pack(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int) -> I
             pending = (doc, start + n) if start + n < len(docs[doc]) else None
 
         take(*seed)
-        if room and unused.any():
+        if room and (n := int(unused.sum())):
+            if n < 0.7 * indexed:
+                shard.drop_used(unused)
+                indexed = n
             for doc in shard.neighbours(docs[seed[0]][seed[1] :][:window], unused):
                 unused[doc] = False
                 take(int(doc), 0)

@@ -183,7 +183,7 @@ def prefix_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 out |= {"counts": pa.array(counts, pa.list_(pa.int32()))}
             yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
-    return docs.select(id_col, text_col).mapInArrow(frugal(count), schema)
+    return docs.select(id_col, text_col).mapInArrow(frugal(count, cycles=False), schema)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
