@@ -87,13 +87,14 @@ def fit(texts: pa.Array, labels: np.ndarray, bits: int, epochs: int = 4, seed: i
         cut = np.searchsorted(key, np.arange(hi - lo + 1) * size)
         for k in range(hi - lo):
             c = times[cut[k] : cut[k + 1]]
-            made.append((np.append(key[cut[k] : cut[k + 1]] % size, size), np.append(c / np.sqrt(max(c.sum(), 1)), 1.0)))
+            made.append(((key[cut[k] : cut[k + 1]] % size).astype(np.int32), c.astype(np.int32)))  # eight bytes a feature
     out = []
     for y in labels.T:
         model, order, known = Ftrl(size + 1), np.random.default_rng(seed), np.flatnonzero(y >= 0)
         for _ in range(epochs):
             for k in known[order.permutation(len(known))]:
-                model.learn(*made[k], y[k])
+                slot, c = made[k]
+                model.learn(np.append(slot, size), np.append(c / np.sqrt(max(c.sum(), 1)), 1.0), y[k])
         out.append(model.weights())
     w = np.stack(out, 1)
     return w[:-1], w[-1]

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from palimpsest.llm._base import frugal, table
+from palimpsest.llm._base import frugal, release, table
 from palimpsest.llm._features import fit, scores, sigmoid
 
 FOLDS, THRESHOLD = 5, 0.3
@@ -68,6 +68,7 @@ def train_all(docs: DataFrame, labels: DataFrame, label: list[Column], bits: int
 
     def go(batches):
         t = first_bytes(batches, sample_bytes)
+        release()
         if t.num_rows:
             w, bias = fit(t["text"].combine_chunks(), np.array(t["y"].to_pylist(), np.int64).reshape(-1, m), bits)
             for k in range(m):
