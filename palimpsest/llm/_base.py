@@ -103,6 +103,13 @@ def frugal(f, cycles: bool = True):
     return run
 
 
+def sliced(batches, rows: int = 1000):
+    """The batches in slices, so that what is made of one and waits to be sent stays small."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def one_thread() -> None:
     """Keeps native libraries in Python workers to the core that Spark gave the task."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

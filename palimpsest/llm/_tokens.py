@@ -47,39 +47,55 @@ def as_bytes(word: str) -> str:
     return word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
 
 
-class Words(dict):
-    """word -> its ids as bytes of little-endian numbers, encoded when first asked for. It
-    forgets all when it holds `most` words, so that a worker's memory stays bounded."""
+class Kept(dict):
+    """word -> what was made of it, kept from the second time on that it is asked for: most words of a
+    corpus come once. It forgets all when it holds `most` words, so that a worker's memory stays bounded."""
 
-    def __init__(self, model, kind: str, most: int = 800_000):
+    #: Marks of words that were asked for. Two words that share one are kept a little early, nothing else.
+    MARKS = 1 << 22
+
+    def __init__(self, model, most: int = 800_000):
         super().__init__()
-        self.model, self.kind, self.most = model, kind, most
+        self.model, self.most = model, most
+        self.forget()
 
-    def __missing__(self, word: str) -> bytes:
-        shown = as_bytes(word)
-        if len(self) >= self.most:
-            self.clear()
-        ids = self[word] = array(self.kind, [t.id for t in self.model.tokenize(shown)]).tobytes()
-        return ids
+    def forget(self) -> None:
+        self.clear()
+        self.asked = bytearray(self.MARKS)
 
+    def keep(self, word: str, made):
+        at = hash(word) & self.MARKS - 1
+        if self.asked[at]:
+            if len(self) >= self.most:
+                self.forget()
+            self[word] = made
+        else:
+            self.asked[at] = 1
+        return made
 
-class Sizes(dict):
-    """word -> the number of its ids, bounded like Words."""
 
-    def __init__(self, model, most: int = 800_000):
-        super().__init__()
-        self.model, self.most = model, most
+class Words(Kept):
+    """word -> its ids as bytes of little-endian numbers."""
+
+    def __init__(self, model, kind: str, most: int = 800_000):
+        super().__init__(model, most)
+        self.kind = kind
+
+    def __missing__(self, word: str) -> bytes:
+        return self.keep(word, array(self.kind, [t.id for t in self.model.tokenize(as_bytes(word))]).tobytes())
+
+
+class Sizes(Kept):
+    """word -> the number of its ids."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        n = self[word] = len(self.model.tokenize(as_bytes(word)))
-        return n
+        return self.keep(word, len(self.model.tokenize(as_bytes(word))))
 
 
 class WordTokens:
     """Encoder for a vocabulary file of the tokenizers library: word by word if the file splits texts
-    by the word pattern above, whole by the library if not."""
+    by the word pattern above, whole by the library if not. Words are kept for ids or for counts, not
+    for both: a worker that counted for one stage and encodes for the next would hold them twice."""
 
     def __init__(self, path: str):
         one_thread()
@@ -109,6 +125,8 @@ class WordTokens:
         ws = self.pieces(text)
         if ws is None:
             return np.asarray(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        if self.sizes:
+            self.sizes.forget()
         return b"".join(map(self.words.__getitem__, ws))
 
     def count(self, text: str) -> int:
@@ -116,6 +134,8 @@ class WordTokens:
         ws = self.pieces(text)
         if ws is None:
             return len(self.library.encode(text, add_special_tokens=False).ids)
+        if self.words:
+            self.words.forget()
         return sum(map(self.sizes.__getitem__, ws))
 
     def ids(self, text: str) -> np.ndarray:

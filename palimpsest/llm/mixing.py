@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from palimpsest.llm._base import cut, frugal, table
+from palimpsest.llm._base import cut, frugal, sliced, table
 from palimpsest.llm._features import scores, sigmoid
 from palimpsest.llm._tokens import word_tokens
 from palimpsest.llm.quality_classifier import train_all
@@ -62,7 +62,7 @@ def posteriors(rows: DataFrame, text: str, models: tuple[np.ndarray, np.ndarray]
     def go(batches):
         weights, biases = shared.value
         encoder = word_tokens(path)
-        for b in batches:
+        for b in sliced(batches):
             q = sigmoid(scores(b.column(at), weights, biases, bits))
             q /= q.sum(1, keepdims=True)
             n = np.array([encoder.count(x.as_py() or "") for x in b.column(at)], np.int64)

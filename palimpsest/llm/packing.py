@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from palimpsest.llm._base import cut, frugal, table
+from palimpsest.llm._base import cut, frugal, sliced, table
 from palimpsest.llm._tokens import word_tokens
 
 K1, B = 1.2, 0.75
@@ -40,7 +40,7 @@ def encode(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str)
     def go(batches):
         encoder = word_tokens(path)
         last = np.array([end_id], encoder.kind).tobytes()
-        for b in batches:
+        for b in sliced(batches):
             ids = pa.array([encoder.raw(x.as_py() or "") + last for x in b.column(1)], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), ids], [id_col, "ids"])
 

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -112,6 +113,33 @@ def test_other_tokenizer_files_go_through_their_library(spark):
         assert token_counts.PrefixCounts(text, encoder).counts.tolist() == [len(library.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
 
 
+def test_workers_hold_little(spark, monkeypatch):
+    """A worker that counts for mixing and then encodes for packing holds the words of one of the two, only
+    those that came again, and what it made of a slice of a batch; ids and counts stay the library's."""
+    from palimpsest.llm import _tokens
+
+    monkeypatch.setattr(_tokens, "_made", {})
+    texts = [None, *("common words, " + "".join(chr(97 + k // 26**j % 26) for j in range(3)) for k in range(2499))]
+    want = [LIBRARY.encode(t or "", add_special_tokens=False).ids for t in texts]
+    docs = spark.createDataFrame([(0, "")], "doc_id long, text string")
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2500)), pa.array(texts)], ["doc_id", "text"])
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda _, f, schema: f)
+    mixed = mixing.posteriors(docs, "text", (np.zeros((8, 3)), np.zeros(3)), PATH, "n", "p")
+    packed = packing.encode(docs, PATH, 2, "doc_id", "text")
+    encoder = _tokens.word_tokens(PATH)
+    for f, used, other in ((mixed, "sizes", "words"), (packed, "words", "sizes"), (mixed, "sizes", "words")):
+        got = list(f([batch]))
+        assert [b.num_rows for b in got] == [1000, 1000, 500] and [k for b in got for k in b["doc_id"].to_pylist()] == [*range(2500)]
+        if f is mixed:
+            assert [n for b in got for n in b["n"].to_pylist()] == [len(x) for x in want] and [t for b in got for t in b["text"].to_pylist()] == texts
+        else:
+            assert [np.frombuffer(x, encoder.kind).tolist() for b in got for x in b["ids"].to_pylist()] == [[*x, 2] for x in want]
+        assert {"common", "words", ","} <= set(getattr(encoder, used)) and len(getattr(encoder, used)) < 30 and not getattr(encoder, other)
+    few = _tokens.Words(encoder.library.model, "H", most=2)
+    for word in ["red", "green", "blue", "grey"] * 3:
+        assert np.frombuffer(few[word], "<u2").tolist() == LIBRARY.encode(word, add_special_tokens=False).ids and len(few) <= 2
+
+
 def test_packing_is_a_partition_of_all_ids(odd, none):
     got = packing.pack_documents(odd, PATH, shard_tokens=5000, with_ids=True).collect()
     sequences, documents = {}, {}
