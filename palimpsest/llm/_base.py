@@ -6,6 +6,8 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +37,20 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """What runs meanwhile sends whole texts to Python workers at most so many rows at a time: the batches
+    of both sides are held beside all else. Results don't depend on it; the session's setting comes back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _sweep() -> None:
     for spark, path in _written:
         try:
@@ -85,14 +101,31 @@ def release() -> None:
         pass
 
 
+#: Tables of words that outlive a task, for the next task of its stage.
+_tables: list[dict] = []
+
+
+def lasting(table: dict) -> dict:
+    _tables.append(table)
+    return table
+
+
+def forget() -> None:
+    for t in _tables:
+        t.clear()
+
+
 def frugal(f, cycles: bool = True):
     """A function for mapInArrow that leaves its worker small. cycles: whether it makes objects that only
-    the collector of cycles can free; if not, large tables of words are not searched for them."""
+    the collector of cycles can free; if not, large tables of words are not searched for them. A function
+    of the first kind uses no such table: those that an earlier stage left in its worker go."""
 
     def run(batches):
         import gc
 
-        if not cycles:
+        if cycles:
+            forget()
+        else:
             gc.disable()
         try:
             yield from f(batches)

@@ -8,7 +8,7 @@ from array import array
 
 import numpy as np
 
-from palimpsest.llm._base import one_thread
+from palimpsest.llm._base import lasting, one_thread
 
 #: Texts of these characters alone take the quick way: they are composed already, have no white
 #: space beyond ASCII's, and lower-case one to one. All others go through the library whole.
@@ -54,7 +54,7 @@ class Kept(dict):
     #: Marks of words that were asked for. Two words that share one are kept a little early, nothing else.
     MARKS = 1 << 22
 
-    def __init__(self, model, most: int = 800_000):
+    def __init__(self, model, most: int = 500_000):
         super().__init__()
         self.model, self.most = model, most
         self.forget()
@@ -77,7 +77,7 @@ class Kept(dict):
 class Words(Kept):
     """word -> its ids as bytes of little-endian numbers."""
 
-    def __init__(self, model, kind: str, most: int = 800_000):
+    def __init__(self, model, kind: str, most: int = 500_000):
         super().__init__(model, most)
         self.kind = kind
 
@@ -142,11 +142,11 @@ class WordTokens:
         return np.frombuffer(self.raw(text), self.kind)
 
 
-_made: dict[str, WordTokens] = {}
+_made: dict[str, WordTokens] = lasting({})
 
 
 def word_tokens(path: str) -> WordTokens:
-    """One encoder for each worker and file."""
+    """One encoder for each worker and file, until a stage without words comes."""
     if path not in _made:
         _made[path] = WordTokens(path)
     return _made[path]

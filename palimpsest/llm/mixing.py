@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from palimpsest.llm._base import cut, frugal, sliced, table
+from palimpsest.llm._base import cut, frugal, sliced, small_batches, table
 from palimpsest.llm._features import scores, sigmoid
 from palimpsest.llm._tokens import word_tokens
 from palimpsest.llm.quality_classifier import train_all
@@ -126,7 +126,8 @@ def _soft(docs: DataFrame, labels: DataFrame, text: str, targets: dict[str, floa
     goal = goal / goal.sum()
     given, id_col, text_col = train_on
     models = train_all(given, labels, [label(name) for name in targets], bits=bits, id_col=id_col, text_col=text_col)
-    soft = cut(posteriors(docs, text, models, path, *names, keep_text), "posteriors")
+    with small_batches(docs.sparkSession):
+        soft = cut(posteriors(docs, text, models, path, *names, keep_text), "posteriors")
     found = fit_rates(soft.select(F.col(names[0]).alias("n_tokens"), F.col(names[1]).alias("p")), goal, ridge)
     if found.steps and np.abs(found.missed).max() > NEAR:
         warnings.warn(f"mixing misses its targets by {dict(zip(targets, found.missed.round(4).tolist()))} of all tokens after {found.steps} steps", stacklevel=3)

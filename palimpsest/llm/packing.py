@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from palimpsest.llm._base import cut, frugal, sliced, table
+from palimpsest.llm._base import cut, frugal, sliced, small_batches, table
 from palimpsest.llm._tokens import word_tokens
 
 K1, B = 1.2, 0.75
@@ -53,8 +53,10 @@ class Shard:
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
         self.docs, self.n = docs, len(docs)
         sizes = np.array([len(d) for d in docs], np.int64)
-        of = np.repeat(np.arange(self.n, dtype=np.int64), sizes)
-        key = np.sort(np.concatenate(docs).astype(np.int64) * self.n + of)
+        key = np.concatenate(docs).astype(np.int64)  # in place: a shard's keys are the most that a worker holds
+        key *= self.n
+        key += np.repeat(np.arange(self.n), sizes)
+        key.sort()
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         tf = np.diff(np.append(first, len(key)))
         term, self.doc = key[first] // self.n, (key[first] % self.n).astype(np.int32)
@@ -134,7 +136,8 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 2, window: int = 40
     if window & (window - 1):
         raise ValueError("window must be a power of two")
     kind, vocabulary = word_tokens(path).kind, max(word_tokens(path).library.get_vocab_size(), end_id + 1)
-    coded = cut(encode(docs, path, end_id, id_col, text_col), "ids")
+    with small_batches(docs.sparkSession):
+        coded = cut(encode(docs, path, end_id, id_col, text_col), "ids")
 
     def frequencies(batches):
         df, n, tokens = np.zeros(vocabulary, np.int64), 0, 0

@@ -140,6 +140,24 @@ def test_workers_hold_little(spark, monkeypatch):
         assert np.frombuffer(few[word], "<u2").tolist() == LIBRARY.encode(word, add_special_tokens=False).ids and len(few) <= 2
 
 
+def test_stages_without_words_leave_none(spark, monkeypatch):
+    """Tables of words are for the next task of their stage: counting and packing ids empties their worker.
+    Texts go to the workers in small batches, and the session's setting is back afterwards."""
+    from palimpsest.llm import _base, _tokens
+
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    cut = lambda df, name: (seen.append((name, spark.conf.get(key))), _base.cut(df, name))[1]
+    for m in (packing, mixing):
+        monkeypatch.setattr(m, "cut", cut)
+    docs = spark.createDataFrame([(k, f"one text {k}") for k in range(30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(30)], "doc_id long, quality int, toxic int")
+    before = spark.conf.get(key)
+    assert packing.pack_documents(docs, PATH).count() >= 30 and mixing.rates(docs, labels, PATH).count() == 30
+    assert seen == [("ids", "1000"), ("posteriors", "1000")] and spark.conf.get(key) == before
+    _tokens.word_tokens(PATH).raw("word word")
+    assert _tokens._made and list(_base.frugal(lambda batches: iter(batches))([1])) == [1] and not _tokens._made
+
+
 def test_packing_is_a_partition_of_all_ids(odd, none):
     got = packing.pack_documents(odd, PATH, shard_tokens=5000, with_ids=True).collect()
     sequences, documents = {}, {}
