@@ -136,6 +136,15 @@ def frugal(f, cycles: bool = True):
     return run
 
 
+def as_text(value) -> str:
+    """A text of an Arrow array, null as empty. Spark and Parquet carry bytes that are not UTF-8 through
+    unchecked; they are read as U+FFFD."""
+    try:
+        return value.as_py() or ""
+    except UnicodeDecodeError:
+        return value.as_buffer().to_pybytes().decode(errors="replace")
+
+
 def sliced(batches, rows: int = 1000):
     """The batches in slices, so that what is made of one and waits to be sent stays small."""
     for b in batches:

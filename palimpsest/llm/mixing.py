@@ -20,8 +20,8 @@ Defined results: a null text counts as empty and has no tokens, the posterior of
 the rate of any document with it; labels that are null are left out; without labels all domains are
 equally likely; null ids stay null; repeated rows have the same rates and copies; targets are
 normalised to sum 1; a domain that no document can belong to is missed by what it lacks, with a
-warning that says by how much; an empty table gives no rows; other columns, whatever their names,
-pass through mix() as they are.
+warning that says by how much; bytes that are not UTF-8 are counted as U+FFFD and stay as they are;
+an empty table gives no rows; other columns, whatever their names, pass through mix() as they are.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from palimpsest.llm._base import cut, frugal, sliced, small_batches, table
+from palimpsest.llm._base import as_text, cut, frugal, sliced, small_batches, table
 from palimpsest.llm._features import scores, sigmoid
 from palimpsest.llm._tokens import word_tokens
 from palimpsest.llm.quality_classifier import train_all
@@ -65,7 +65,7 @@ def posteriors(rows: DataFrame, text: str, models: tuple[np.ndarray, np.ndarray]
         for b in sliced(batches):
             q = sigmoid(scores(b.column(at), weights, biases, bits))
             q /= q.sum(1, keepdims=True)
-            n = np.array([encoder.count(x.as_py() or "") for x in b.column(at)], np.int64)
+            n = np.array([encoder.count(as_text(x)) for x in b.column(at)], np.int64)
             lists = pa.FixedSizeListArray.from_arrays(pa.array(q.ravel()), q.shape[1]).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*(b.column(rows_at) for rows_at in places), pa.array(n), lists], [*kept, n_tokens, p])
 

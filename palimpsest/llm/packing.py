@@ -13,9 +13,9 @@
 Nothing is shuffled but the frequencies, so a hot source weighs on no task, and a lost executor
 costs the rerun of its own partitions, which read the written ids in the same order.
 
-Defined results: a null text counts as empty and has the end id alone; null ids stay null;
-repeated rows are packed each for itself; an empty table gives no rows; the order of ties in BM25
-is that of the rows; other columns are not looked at.
+Defined results: a null text counts as empty and has the end id alone; bytes that are not UTF-8 are
+encoded as U+FFFD; null ids stay null; repeated rows are packed each for itself; an empty table
+gives no rows; the order of ties in BM25 is that of the rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from palimpsest.llm._base import cut, frugal, sliced, small_batches, table
+from palimpsest.llm._base import as_text, cut, frugal, sliced, small_batches, table
 from palimpsest.llm._tokens import word_tokens
 
 K1, B = 1.2, 0.75
@@ -41,7 +41,7 @@ def encode(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str)
         encoder = word_tokens(path)
         last = np.array([end_id], encoder.kind).tobytes()
         for b in sliced(batches):
-            ids = pa.array([encoder.raw(x.as_py() or "") + last for x in b.column(1)], pa.binary())
+            ids = pa.array([encoder.raw(as_text(x)) + last for x in b.column(1)], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), ids], [id_col, "ids"])
 
     return docs.select(id_col, text_col).mapInArrow(frugal(go, cycles=False), f"`{id_col}` {dict(docs.dtypes)[id_col]}, ids binary")

@@ -7,8 +7,8 @@ that order, at most `sample_bytes` of text. One
 task trains on it and returns the weights that are not zero, at most 2**bits. Scoring covers every
 row and whole texts, reads nothing but the text, and shuffles nothing.
 
-Defined results: a null text counts as empty, whose score is the model's bias; labels that are null
-are left out, several labels of one document count as their majority (0 on a tie); without labels
+Defined results: a null text counts as empty, whose score is the model's bias; bytes that are not
+UTF-8 are letters, as all beyond ASCII; labels that are null are left out, several labels of one document count as their majority (0 on a tie); without labels
 every score is 0.5; repeated rows each get their score; null ids stay null and count as held out;
 other columns, whatever their names, are not looked at.
 """
@@ -19,6 +19,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from palimpsest.llm._base import frugal, release, table
@@ -56,7 +57,7 @@ def first_bytes(batches, most: int) -> pa.Table:
         t = pa.Table.from_batches([b])
         held = t if held is None else pa.concat_tables([held, t])
         held = held.sort_by([("at", "ascending"), ("text", "ascending")])
-        size = np.cumsum([len((x.as_py() or "").encode()) for x in held["text"]])
+        size = np.cumsum(pc.fill_null(pc.binary_length(held["text"]), 0).to_numpy(), dtype=np.int64)
         room = int(np.searchsorted(size, most, "right"))
         held = held.slice(0, room + 1).combine_chunks()
     return held.slice(0, room) if held is not None else pa.table({"y": pa.array([], pa.list_(pa.int32())), "text": pa.array([], pa.string()), "at": pa.array([], pa.int64())})

@@ -217,6 +217,25 @@ def test_stages_on_odd_rows_and_names(spark, folder):
         assert stage(spark, none, folder).count() == 0, name
 
 
+def test_stages_on_bytes_that_are_not_utf8(spark, folder, tmp_path):
+    """Such texts, labelled ones too, go through every stage byte by byte; their tokens are those of U+FFFD."""
+    given = [(500 + k, prose(60 + k).encode() + bad + prose(20).encode()) for k, bad in enumerate((b" \xff\xfe ", b"\xc3", b" \xed\xa0\x80", b"\xf0\x9f\x98", b" \x80 \xe9t\xe9 "))]
+    docs = spark.createDataFrame(given, "doc_id long, text binary").selectExpr("doc_id", "cast(text as string) text", "'en' lang", "'s0' source", "cast(octet_length(text) as long) n_chars")
+    at = str(tmp_path)
+    spark.read.parquet(f"{folder}/documents.parquet").unionByName(docs).write.parquet(f"{at}/documents.parquet")
+    spark.read.parquet(f"{folder}/labels.parquet").unionByName(docs.selectExpr("doc_id", "1 quality", "0 toxic")).write.parquet(f"{at}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, at)
+        if name == "packing":
+            want = {i: len(LIBRARY.encode(t.decode(errors="replace"), add_special_tokens=False).ids) + 1 for i, t in given}
+            assert {r.doc_id: r.n for r in out.groupBy("doc_id").agg({"length": "sum"}).withColumnRenamed("sum(length)", "n").collect()} == want
+        else:
+            got = {(r.doc_id, bytes(r.t)) for r in out.selectExpr("doc_id", "cast(text as binary) t").collect()}
+            assert got == set(given) if name in ("lines", "near duplicates") else got <= set(given), name
+    told = mixing.rates(docs, spark.read.parquet(f"{at}/labels.parquet"), corpus_pipeline.vocabulary(), train_on=spark.read.parquet(f"{at}/documents.parquet")).collect()
+    assert {r.id: r.n_tokens + 1 for r in told} == want
+
+
 def test_near_duplicates_without_broadcasts(spark, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "BROADCAST_ROWS", -1)
     test_near_duplicates_of_null_and_shared_ids(spark)
